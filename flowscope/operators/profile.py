@@ -34,6 +34,9 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(df.select(*columns))
     matrix = Correlation.corr(vectors, "_v").first()[0].toArray()
+    stats = collect_summary(df, columns)
+    constant = np.array([stats[c]["low"] == stats[c]["high"] for c in columns])
+    matrix[constant | constant[:, None]] = np.nan
     cells = pd.DataFrame(
         {"f1": np.repeat(columns, len(columns)), "f2": np.tile(columns, len(columns)), "r": matrix.ravel()}
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from flowscope.functions.significance import chi2_sf, f_sf
 from flowscope.operators.summary import summarize
@@ -16,12 +17,12 @@ ALPHA = 0.05
 ACCURACY = 10_000
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi2_p(statistic: pd.Series, groups: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(t) else chi2_sf(t, int(k) - 1) for t, k in zip(statistic, groups)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _f_p(statistic: pd.Series, groups: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(w) else f_sf(w, k - 1, total - k) for w, k, total in zip(statistic, groups, n)], dtype=float

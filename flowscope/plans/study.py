@@ -9,22 +9,17 @@ from pyspark.sql import DataFrame
 from flowscope.detectors.reduction import forest_importances
 from flowscope.operators.ordered import top_k
 from flowscope.operators.profile import corr_matrix
-from flowscope.operators.sampling import train_test_split, union_rows
+from flowscope.operators.sampling import train_test_split
 from flowscope.operators.summary import nonzero_columns, zscore
 from flowscope.schema import LABEL
 
 TOP_FEATURES = 50  # fixed value
 
 
-def combine(*tables: DataFrame) -> DataFrame:
-    """Several feature tables as one."""
-    return union_rows(*tables)
-
-
 def correlations(df: DataFrame, features: Sequence[str], label: str = LABEL) -> DataFrame:
     """Correlation of the standardised live features and the label."""
     live = nonzero_columns(df, features)
-    return corr_matrix(zscore(df.select(label, *live), live), [label, *live]) if live else corr_matrix(df, [label])
+    return corr_matrix(zscore(df.select(label, *live), live), [label, *live])
 
 
 def leading_features(df: DataFrame, features: Sequence[str], row_id: str, label: str = LABEL, k: int = TOP_FEATURES) -> DataFrame:
