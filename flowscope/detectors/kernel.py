@@ -7,6 +7,7 @@ machine on z approximates the radial-basis one; the error falls as ``1/sqrt(D)``
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -29,12 +30,14 @@ from flowscope.schema import LABEL
 SVM_C = 100.0
 GAMMA = 0.1
 SVM_SEED = 42
+SVM_TOLERANCE = 1e-3
 ONE_CLASS_TEST_SHARE = 0.20
 GRID_X = (-8.0, 6.0)
 GRID_Y = (-3.0, 3.0)
 GRID_STEPS = 30
 # --- end of fixed values ---------------------------------------------------------------------------
 COMPONENTS = 512
+ROWS_PER_TASK = 5_000
 
 
 def fourier_basis(dim: int, components: int, gamma: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,12 +104,19 @@ def fit_svm(
     train = train.persist()
     try:
         n = train.count()
+        # a sample of a large table comes in many small pieces, and every optimiser step visits all of them
+        compact = train.coalesce(max(1, math.ceil(n / ROWS_PER_TASK)))
         svc = LinearSVC(
-            featuresCol="fourier", labelCol=label, regParam=1.0 / (c * n), standardization=False, maxIter=max_iter
+            featuresCol="fourier",
+            labelCol=label,
+            regParam=1.0 / (c * n),
+            standardization=False,
+            maxIter=max_iter,
+            tol=SVM_TOLERANCE,
         )
-        stages = [assembler, fourier, svc.fit(train)]
+        stages = [assembler, fourier, svc.fit(compact)]
         if probability:
-            scored = stages[-1].transform(train).select("rawPrediction", label)
+            scored = stages[-1].transform(compact).select("rawPrediction", label)
             calibration = LogisticRegression(
                 featuresCol="rawPrediction",
                 labelCol=label,
@@ -175,7 +185,8 @@ def fit_one_class(
     """
     basis = fourier_basis(len(features), components, gamma, seed)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    rows = assembler.transform(df).select(vector_to_array("features").alias("x")).persist()
+    source = assembler.transform(df).select(vector_to_array("features").alias("x")).persist()
+    rows = source.coalesce(max(1, math.ceil(source.count() / ROWS_PER_TASK)))
 
     def mean_below(weights: np.ndarray, limit: float) -> np.ndarray:
         def partial(batches):
@@ -202,7 +213,7 @@ def fit_one_class(
             weights = (1 - rate) * weights + rate * mean_below(weights, limit_of(weights))
         rho = limit_of(weights)
     finally:
-        rows.unpersist()
+        source.unpersist()
     model = OneClassModel(
         inputCol="features",
         outputCol="decision",

@@ -20,16 +20,17 @@ BUCKET = "_bucket"
 
 def _cuts(df: DataFrame, column: str, buckets: int) -> list[float]:
     steps = [i / buckets for i in range(1, buckets)]
-    return df.approxQuantile(column, steps, 1.0 / (4 * buckets)) if steps else []
+    cuts = df.approxQuantile(column, steps, 1.0 / (4 * buckets)) if steps else []
+    return [cut + 0.0 for cut in cuts]
 
 
 def _bucketize(df: DataFrame, column: str, splits: list[float], name: str) -> DataFrame:
     if not splits:
         return df.withColumn(name, F.lit(0))
     edges = [-math.inf, *splits, math.inf]
-    marked = Bucketizer(splits=edges, inputCol="_order", outputCol=name).transform(
-        df.withColumn("_order", F.col(column).cast("double"))
-    )
+    # -0.0 sorts as 0.0 but would be searched as less
+    order = F.when(F.col(column) == 0, 0.0).otherwise(F.col(column).cast("double"))
+    marked = Bucketizer(splits=edges, inputCol="_order", outputCol=name).transform(df.withColumn("_order", order))
     return marked.withColumn(name, F.col(name).cast("int")).drop("_order")
 
 

@@ -12,7 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NARROW = 64  # up to here plain aggregates are faster than the vector summarizer
+NARROW = 16  # up to here plain aggregates are faster than the vector summarizer
 MEASURES = ["n", "mean", "variance", "total", "low", "high", "nonzero"]
 
 
@@ -39,6 +39,12 @@ def _wide(df: DataFrame, features: Sequence[str], by: list[str]) -> DataFrame:
     return summarize_vector(vectors, "_v", features, by)
 
 
+def _exact_constants(stats: DataFrame) -> DataFrame:
+    """Merging partial variances leaves rounding noise on a constant column; its variance is 0."""
+    variance = F.when((F.col("low") == F.col("high")) & (F.col("n") > 1), 0.0).otherwise(F.col("variance"))
+    return stats.withColumn("variance", variance)
+
+
 def summarize_vector(df: DataFrame, vector: str, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``summarize`` of a vector column whose entries are the named features."""
     metrics = Summarizer.metrics("count", "mean", "variance", "sum", "min", "max", "numNonZeros")
@@ -62,7 +68,7 @@ def summarize_vector(df: DataFrame, vector: str, features: Sequence[str], by: Se
 
 def summarize(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One row per (group, feature): count, mean, sample variance, sum, min, max, non-zero count; one pass."""
-    return (_narrow if len(features) <= NARROW else _wide)(df, features, list(by))
+    return _exact_constants((_narrow if len(features) <= NARROW else _wide)(df, features, list(by)))
 
 
 def collect_summary(df: DataFrame, features: Sequence[str]) -> dict[str, dict]:

@@ -14,6 +14,7 @@ from flowscope.operators.evaluate import classification_scores, f_beta
 from flowscope.operators.sampling import class_ratio_sample, kfold, one_class_split, train_test_split
 from flowscope.operators.summary import minmax_scale
 from flowscope.schema import LABEL
+from flowscope.session import materialized
 
 SVM_FOLDS, ONE_CLASS_FOLDS = 10, 2  # fixed values
 
@@ -29,13 +30,18 @@ def load_dataset(
     label: str = LABEL,
     seed: int = 42,
 ) -> DataFrame:
-    """Scale the whole table to 0..1, label included, and draw the class-ratio sample."""
+    """Scale the whole table to 0..1, label included, and draw the class-ratio sample.
+
+    The sample is written once, since every fit and split that follows reads it several times.
+    """
     scaled = minmax_scale(table.select(row_id, label, *features), [*features, label])
     scaled = scaled.withColumn(label, F.col(label).cast("int"))
     if one_class:
         recoded = recode_label(scaled, ONE_CLASS, label)
-        return class_ratio_sample(recoded, row_id, label, size, malware_percent, test_percent, 1, -1, seed)
-    return class_ratio_sample(scaled, row_id, label, size, malware_percent, seed=seed)
+        sample = class_ratio_sample(recoded, row_id, label, size, malware_percent, test_percent, 1, -1, seed)
+    else:
+        sample = class_ratio_sample(scaled, row_id, label, size, malware_percent, seed=seed)
+    return materialized(sample, "sample")
 
 
 def train_svm(
@@ -72,16 +78,12 @@ def cross_validate(
     ``fit`` is called once per fold on the other folds. Give the test part as ``data`` for the reference
     protocol, which refits on the held-out part only; give the training part for the usual one.
     """
-    folded = kfold(data, row_id, folds, seed, label if stratified else None).persist()
-    try:
-        scores = None
-        for fold in range(folds):
-            model = fit(folded.where(F.col("fold") != fold).drop("fold"))
-            scored = model.transform(folded.where(F.col("fold") == fold).drop("fold"))
-            one = classification_scores(scored, label, "prediction", positive).collect()
-            scores = (scores or []) + one
-    finally:
-        folded.unpersist()
+    folded = materialized(kfold(data, row_id, folds, seed, label if stratified else None), "folds")
+    scores = []
+    for fold in range(folds):
+        model = fit(folded.where(F.col("fold") != fold).drop("fold"))
+        scored = model.transform(folded.where(F.col("fold") == fold).drop("fold"))
+        scores += classification_scores(scored, label, "prediction", positive).collect()
     table = data.sparkSession.createDataFrame(scores)
     means = table.agg(*[F.avg(c).alias(c) for c in ("accuracy", "precision", "recall")])
     return means.withColumn("f_beta", f_beta(2.0, F.col("precision"), F.col("recall")))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -35,3 +35,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         shared = tempfile.mkdtemp(prefix="flowscope-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return os.path.join(shared, f"flowscope-{uuid.uuid4().hex}", name)
+
+
+def materialized(df: DataFrame, name: str = "table") -> DataFrame:
+    """The rows as a written table in the scratch space: later steps neither replan nor recompute them, and
+    they outlive lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
