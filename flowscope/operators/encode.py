@@ -16,15 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowscope import schema as S
-from flowscope.functions.codes import hex_code, in_ranges, pad_code, parse_code_list, parse_until_error
+from flowscope.functions.codes import in_ranges, parse_code_list, parse_until_error
 
 STEP = 0.5  # fixed value: what one occurrence weighs
 STEPS = "code_steps"
 
 
-def _split(codes: Column, ranges) -> tuple[Column, Column]:
-    known = F.filter(codes, lambda c: in_ranges(c, ranges))
-    return known, F.filter(codes, lambda c: ~in_ranges(c, ranges))
+def _known(codes: Column, ranges) -> Column:
+    return F.filter(codes, lambda c: in_ranges(c, ranges))
 
 
 def _twice(codes: Column, chosen: Column) -> Column:
@@ -36,44 +35,56 @@ def _repeat(name: str, times: Column) -> Column:
     return F.array_repeat(F.lit(name), times.cast("int"))
 
 
-def cipher_steps(codes: Column, chosen: Column, bonus_for_unknown: bool = True) -> Column:
+def _hex_name(prefix: str):
+    """Name of a vocabulary code, all of which have at most four hex digits."""
+    return lambda c: F.concat(F.lit(prefix), F.lower(F.lpad(F.hex(c), 4, "0")))
+
+
+def _decimal_name(prefix: str):
+    return lambda c: F.concat(F.when(c < 10, prefix + "0").otherwise(prefix), c.cast("string"))
+
+
+def _others(codes: Column, known: Column, chosen: Column | None, ranges) -> Column:
+    """Number of codes outside the vocabulary, those the server chose counted twice."""
+    count = F.size(codes) - F.size(known)
+    if chosen is None:
+        return count
+    bonus = F.when(~in_ranges(chosen, ranges), F.size(F.filter(codes, lambda c: c == chosen)))
+    return count + F.coalesce(bonus, F.lit(0))
+
+
+def cipher_steps(codes: Column, known: Column, chosen: Column, bonus_for_unknown: bool = True) -> Column:
     """One step per occurrence, one more where it is the server's choice; unknown codes share ``cs_unknown``."""
-    known, unknown = _split(codes, S.CIPHER_RANGES)
-    names = F.transform(_twice(known, chosen), lambda c: F.concat(F.lit("cs_"), hex_code(c)))
-    others = _twice(unknown, chosen) if bonus_for_unknown else unknown
-    return F.concat(names, _repeat("cs_unknown", F.size(others)))
+    names = F.transform(_twice(known, chosen), _hex_name("cs_"))
+    others = _others(codes, known, chosen if bonus_for_unknown else None, S.CIPHER_RANGES)
+    return F.concat(names, _repeat("cs_unknown", others))
 
 
-def signature_steps(codes: Column) -> Column:
+def signature_steps(codes: Column, known: Column) -> Column:
     """One step per known code; 0 or no code at all is ``sig_empty``; n reserved codes weigh 1 + (n-1)/2."""
-    known, unknown = _split(F.filter(codes, lambda c: c != 0), S.SIGNATURE_MATCHED_RANGES)
-    names = F.transform(F.array_distinct(known), lambda c: F.concat(F.lit("sig_"), hex_code(c)))
+    reserved = F.size(codes) - F.size(known) - F.size(F.filter(codes, lambda c: c == 0))
     empty = (F.size(codes) == 0) | F.array_contains(codes, 0)
-    reserved = F.size(unknown)
     return F.concat(
-        names,
+        F.transform(F.array_distinct(known), _hex_name("sig_")),
         _repeat("sig_empty", F.when(empty, 1).otherwise(0)),
         _repeat("sig_grease", F.when(reserved > 0, reserved + 1).otherwise(0)),
     )
 
 
-def group_steps(codes: Column, chosen: Column) -> Column:
+def group_steps(codes: Column, known: Column, chosen: Column) -> Column:
     """One step per known code, two for the server's choice; unknown ones add up in ``grp_grease``."""
-    known, unknown = _split(codes, S.GROUP_RANGES)
-    names = F.transform(_twice(F.array_distinct(known), chosen), lambda c: F.concat(F.lit("grp_"), pad_code(c)))
-    return F.concat(names, _repeat("grp_grease", F.size(_twice(unknown, chosen))))
+    names = F.transform(_twice(F.array_distinct(known), chosen), _decimal_name("grp_"))
+    return F.concat(names, _repeat("grp_grease", _others(codes, known, chosen, S.GROUP_RANGES)))
 
 
-def point_steps(codes: Column) -> Column:
-    known, _ = _split(codes, S.POINT_RANGES)
-    return F.transform(F.array_distinct(known), lambda c: F.concat(F.lit("pts_"), pad_code(c)))
+def point_steps(known: Column) -> Column:
+    return F.transform(F.array_distinct(known), _decimal_name("pts_"))
 
 
-def extension_steps(codes: Column) -> Column:
+def extension_steps(codes: Column, known: Column) -> Column:
     """One step per known code; unknown ones add up in ``svr_ext_unassigned``."""
-    known, unknown = _split(codes, S.EXTENSION_RANGES)
-    names = F.transform(F.array_distinct(known), lambda c: F.concat(F.lit("svr_ext_"), pad_code(c)))
-    return F.concat(names, _repeat("svr_ext_unassigned", F.size(unknown)))
+    names = F.transform(F.array_distinct(known), _decimal_name("svr_ext_"))
+    return F.concat(names, _repeat("svr_ext_unassigned", _others(codes, known, None, S.EXTENSION_RANGES)))
 
 
 # --- scalars ---------------------------------------------------------------------------------------
@@ -108,20 +119,32 @@ CODE_TEXT = {
 }
 
 
+VOCABULARY = {
+    CIPHER: S.CIPHER_RANGES,
+    SIGNATURE: S.SIGNATURE_MATCHED_RANGES,
+    GROUP: S.GROUP_RANGES,
+    POINT: S.POINT_RANGES,
+    EXTENSION: S.EXTENSION_RANGES,
+}
+
+
 def _steps(flows: DataFrame, codes: dict[str, Column], bonus_for_unknown: bool) -> DataFrame:
-    """Code lists to ``code_steps``. The lists get a projection of their own, so each is parsed once."""
+    """Code lists to ``code_steps``. Lists and their known part get projections of their own, so each is
+    worked out once."""
     flows = flows.withColumns({f"_{name}": column for name, column in codes.items()})
+    flows = flows.withColumns({f"_{name}_known": _known(F.col(f"_{name}"), VOCABULARY[name]) for name in codes})
     chosen_cipher = F.col("srv_CipherSuite").try_cast("int")
     chosen_group = F.col("srv_SelectedGroup").try_cast("int")
     make = {
-        CIPHER: lambda c: cipher_steps(c, chosen_cipher, bonus_for_unknown),
+        CIPHER: lambda c, k: cipher_steps(c, k, chosen_cipher, bonus_for_unknown),
         SIGNATURE: signature_steps,
-        GROUP: lambda c: group_steps(c, chosen_group),
-        POINT: point_steps,
+        GROUP: lambda c, k: group_steps(c, k, chosen_group),
+        POINT: lambda c, k: point_steps(k),
         EXTENSION: extension_steps,
     }
-    parts = [make[name](F.col(f"_{name}")) for name in codes]
-    return flows.withColumn(STEPS, F.concat(*parts)).drop(*[f"_{name}" for name in codes])
+    parts = [make[name](F.col(f"_{name}"), F.col(f"_{name}_known")) for name in codes]
+    dropped = [column for name in codes for column in (f"_{name}", f"_{name}_known")]
+    return flows.withColumn(STEPS, F.concat(*parts)).drop(*dropped)
 
 
 def weigh_codes(flows: DataFrame, families: list[str] = FAMILIES) -> DataFrame:
@@ -225,7 +248,9 @@ def encode_sparse(weighed: DataFrame, keep: list[str]) -> DataFrame:
     """Long form ``(*keep, feature, value)`` of the non-zero features, without building the wide row."""
     cell = lambda name, value: F.struct(name.alias("feature"), value.cast("double").alias("value"))
     steps = F.col(STEPS)
-    codes = F.transform(F.array_distinct(steps), lambda n: cell(n, STEP * F.size(F.filter(steps, lambda m: m == n))))
+    codes = F.transform(
+        F.array_distinct(steps), lambda n: cell(n, STEP * (F.size(steps) - F.size(F.array_remove(steps, n))))
+    )
     scalars = [c for c in weighed.columns if c in SCALAR_COLUMNS]
     cells = codes
     if scalars:
