@@ -9,6 +9,7 @@ reaches the driver is one state, whose size depends on the layers only.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from flowscope.detectors.network import Adam, Layout
@@ -37,6 +38,7 @@ ACTIVITY_L1 = 1e-6
 WEIGHT_SEED = 2
 # --- end of fixed values ---------------------------------------------------------------------------
 WORKERS = 8
+FAN_IN = 16
 
 
 def bottleneck_layout(dim: int, hidden: Sequence[int] = HIDDEN) -> Layout:
@@ -178,6 +180,22 @@ ROUND_SCHEMA = (
 )
 
 
+def _average(parts: DataFrame, workers: int) -> Row:
+    """Row-weighted mean of the workers' states, in two steps so that no task adds up all of them."""
+    states = ["flat", "first", "second"]
+    vectors = parts.select(*[array_to_vector(c).alias(c) for c in states], "steps", "n", "loss", "valid_n", "valid_loss")
+
+    def merged(df: DataFrame, *keys) -> DataFrame:
+        means = [Summarizer.mean(F.col(c), F.col("n")).alias(c) for c in states]
+        sums = [F.sum(c).alias(c) for c in ("loss", "valid_n", "valid_loss")]
+        return df.groupBy(*keys).agg(*means, F.max("steps").alias("steps"), *sums, F.sum("n").alias("n"))
+
+    if workers > FAN_IN:
+        nest = F.pmod(F.spark_partition_id(), F.lit(math.isqrt(workers)))
+        vectors = merged(vectors.withColumn("nest", nest), "nest").drop("nest")
+    return merged(vectors).first()
+
+
 def fit_autoencoder(
     train: DataFrame,
     features: Sequence[str],
@@ -213,20 +231,12 @@ def fit_autoencoder(
         for epoch in range(passes, epochs + 1, passes):
             shared = spark.sparkContext.broadcast(state)
             parts = placed.mapInArrow(_round(layout, shared, dim, batch_size, passes), ROUND_SCHEMA)
-            mean = lambda c: Summarizer.mean(array_to_vector(c), F.col("n")).alias(c)
-            out = parts.agg(
-                mean("flat"),
-                mean("first"),
-                mean("second"),
-                F.max("steps").alias("steps"),
-                (F.sum("loss") / F.sum("n")).alias("loss"),
-                F.try_divide(F.sum("valid_loss"), F.sum("valid_n")).alias("val_loss"),
-            ).first()
+            out = _average(parts, workers)
             state = (out["flat"].toArray(), out["first"].toArray(), out["second"].toArray(), out["steps"])
             shared.unpersist()
             if history:
-                history[-1] = (*history[-1][:2], out["val_loss"])
-            history.append((epoch, out["loss"], None))
+                history[-1] = (*history[-1][:2], out["valid_loss"] / out["valid_n"] if out["valid_n"] else None)
+            history.append((epoch, out["loss"] / out["n"], None))
         fitted = Autoencoder(layout, tuple(features), state[0], tuple(history))
         last = _valid_loss(placed.where("held"), fitted)
         return Autoencoder(layout, tuple(features), state[0], (*history[:-1], (*history[-1][:2], last)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowscope.functions import temporal
 from flowscope.functions.net import is_ipv4, is_private_ip
-from flowscope.operators.skew import attach
+from flowscope.operators.skew import attach, distinct_estimate
 
 POPULARITY_DAYS = 15
 SETTLE_DAYS = 2  # the newest lists are not out yet, so the window stops two days before as_of
@@ -49,7 +49,7 @@ def ja3_lookup(
 ) -> DataFrame:
     """A listed fingerprint gives status 1 and the age of its entry, any other 0 and 0."""
     table = ja3_table(blacklist, swapped_dates)
-    joined = attach(flows, table, ["Ja3"], [spread], size_of=blacklist, hot_source=hot_source)
+    joined = attach(flows, table, ["Ja3"], [spread], rows=blacklist.count(), hot_source=hot_source)
     return joined.fillna(0.0, ["ja3_urlhaus_status", "ja3_urlhaus_age"])
 
 
@@ -73,7 +73,7 @@ def otx_table(reports: DataFrame, order: str) -> DataFrame:
 def otx_lookup(
     flows: DataFrame, reports: DataFrame, order: str, spread: str = "flow_id", hot_source: DataFrame | None = None
 ) -> DataFrame:
-    joined = attach(flows, otx_table(reports, order), ["DstIP"], [spread], size_of=reports, hot_source=hot_source)
+    joined = attach(flows, otx_table(reports, order), ["DstIP"], [spread], reports.count(), hot_source)
     private = is_private_ip(F.col("DstIP"))
     return joined.withColumns(
         {c: F.when(private, 0.0).otherwise(F.coalesce(c, F.lit(0.0))) for c in ("otx_status", "otx_age")}
@@ -105,10 +105,11 @@ def urlhaus_lookup(
     table = urlhaus_table(reports, order, as_of)
     by_name = table.select(F.col("host").alias("SNI"), F.col("verdict").alias("_by_name"))
     verdict = F.when(F.col("_by_name.found"), F.col("_by_name"))
-    joined = attach(flows, by_name, ["SNI"], [spread], size_of=reports, hot_source=hot_source)
+    rows = reports.count()
+    joined = attach(flows, by_name, ["SNI"], [spread], rows, hot_source)
     if address_fallback:
         by_address = table.select(F.col("host").alias("DstIP"), F.col("verdict").alias("_by_address"))
-        joined = attach(joined, by_address, ["DstIP"], [spread], size_of=reports, hot_source=hot_source)
+        joined = attach(joined, by_address, ["DstIP"], [spread], rows, hot_source)
         closed = is_ipv4(F.col("DstIP")) & is_private_ip(F.col("DstIP"))
         verdict = F.coalesce(verdict, F.when(~closed, F.col("_by_address")))
     return joined.withColumns(
@@ -146,7 +147,8 @@ def domain_popularity(
 ) -> DataFrame:
     source = flows if wanted is None else wanted
     table = popularity_table(source, lists, as_of, days, top)
-    return attach(flows, table, ["SNI"], [spread], hot_source=source).fillna(0.0, ["dom_in_tranco_1m"])
+    rows = distinct_estimate(source, ["SNI"])
+    return attach(flows, table, ["SNI"], [spread], rows, source).fillna(0.0, ["dom_in_tranco_1m"])
 
 
 # --- generated-domain score ------------------------------------------------------------------------
@@ -155,7 +157,7 @@ def dga_score(
 ) -> DataFrame:
     """Score table ``domain, prob`` joined by server name; no name or no score gives 0."""
     table = scores.groupBy(F.col("domain").alias("SNI")).agg(F.max("prob").alias("dom_dga_prob"))
-    joined = attach(flows, table, ["SNI"], [spread], size_of=scores, hot_source=hot_source)
+    joined = attach(flows, table, ["SNI"], [spread], rows=scores.count(), hot_source=hot_source)
     score = F.when(F.coalesce("SNI", F.lit("")) != "", F.coalesce("dom_dga_prob", F.lit(0.0))).otherwise(0.0)
     return joined.withColumn("dom_dga_prob", score)
 
@@ -182,6 +184,6 @@ def enrich_distinct(
     endpoints = source.select(*keys).distinct()
     known = otx_lookup(endpoints, otx, order, spread="SNI")
     known = urlhaus_lookup(known, urlhaus, order, as_of, spread="DstIP", hot_source=endpoints)
-    known = domain_popularity(known, lists, as_of.date(), spread="DstIP", wanted=endpoints)
+    known = domain_popularity(known, lists, as_of.date(), spread="DstIP", wanted=source)
     known = dga_score(known, dga, spread="DstIP", hot_source=endpoints)
-    return attach(flows, known, keys, [spread], size_of=endpoints, hot_source=source)
+    return attach(flows, known, keys, [spread], distinct_estimate(source, keys), source)

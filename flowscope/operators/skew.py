@@ -54,21 +54,26 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def distinct_estimate(df: DataFrame, keys: Sequence[str]) -> int:
+    """Upper estimate of the number of distinct keys: a sketch in one scan, plus five standard errors."""
+    return int(df.agg(F.approx_count_distinct(key_hash(keys), 0.02)).first()[0] * 1.1) + 1
+
+
 def attach(
     left: DataFrame,
     lookup: DataFrame,
     keys: Sequence[str],
     spread: Sequence[str],
-    size_of: DataFrame | None = None,
+    rows: int | None = None,
     hot_source: DataFrame | None = None,
     limit: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Left join with a lookup table of one narrow row per key.
 
-    The lookup is counted first (``size_of`` may name the raw table it comes from, an upper bound that is
-    cheaper to count). Up to ``limit`` rows it is broadcast, beyond that the join is salted.
+    ``rows`` bounds the size of the lookup; without it the lookup is counted. Up to ``limit`` rows it is
+    broadcast, beyond that the join is salted.
     """
-    if (lookup if size_of is None else size_of).count() <= limit:
+    if (lookup.count() if rows is None else rows) <= limit:
         return left.join(F.broadcast(lookup), list(keys), "left")
     return salted_join(left, lookup, keys, spread, "left", hot_source)
 

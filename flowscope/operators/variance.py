@@ -15,6 +15,7 @@ from flowscope.schema import LABEL
 
 ALPHA = 0.05
 ACCURACY = 10_000
+PIECES = 256
 
 
 @F.pandas_udf(DoubleType())
@@ -56,32 +57,42 @@ def unpivot_features(df: DataFrame, features: Sequence[str], keep: Sequence[str]
 def exact_median(long: DataFrame, groups: Sequence[str], value: str = "value") -> DataFrame:
     """Median per group without gathering a group.
 
-    A sketch brackets the middle ranks; values outside the bracket are only counted, and the few inside are
-    combined per distinct value and walked by cumulative count.
+    A sketch brackets the middle ranks. Values outside the bracket are only counted; inside, they are combined
+    per distinct value and cut into equal-width pieces. Piece totals tell which one or two pieces hold the
+    middle ranks, and only their values are walked in order.
     """
     groups = list(groups)
     margin = 3 / ACCURACY
-    band = long.groupBy(*groups).agg(
-        F.percentile_approx(value, F.array(F.lit(0.5 - margin), F.lit(0.5 + margin)), ACCURACY).alias("band")
-    )
+    limits = F.percentile_approx(value, F.array(F.lit(0.5 - margin), F.lit(0.5 + margin)), ACCURACY)
+    band = long.groupBy(*groups).agg(limits.alias("band"))
+    # one row per class and feature
     placed = long.join(F.broadcast(band), groups)
-    below = F.col(value) < F.col("band")[0]
-    inside = F.col(value).between(F.col("band")[0], F.col("band")[1])
-    # values outside the bracket collapse into one row per side
+    low, high, x = F.col("band")[0], F.col("band")[1], F.col(value)
+    inner = F.coalesce(F.width_bucket(x, low, high, F.lit(PIECES)), F.lit(0)).cast("int")
+    piece = F.when(x < low, -1).when(x > high, PIECES + 2).otherwise(inner)
+    inside = x.between(low, high)
     counted = (
-        placed.select(*groups, F.when(below, -1).when(inside, 0).otherwise(1).alias("_side"), F.when(inside, F.col(value)).alias("_x"))
-        .groupBy(*groups, "_side", "_x")
+        placed.select(*groups, piece.alias("_piece"), F.when(inside, x).alias("_x"))
+        .groupBy(*groups, "_piece", "_x")
         .agg(F.count("*").alias("_n"))
     )
-    walk = Window.partitionBy(*groups).orderBy("_side", "_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    walked = counted.withColumn("_upto", F.sum("_n").over(walk)).withColumn(
-        "_total", F.sum("_n").over(Window.partitionBy(*groups))
+    # at most PIECES + 3 rows per group
+    totals = counted.groupBy(*groups, "_piece").agg(F.sum("_n").alias("_m"))
+    upto = Window.partitionBy(*groups).orderBy("_piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = totals.withColumns(
+        {"_end": F.sum("_m").over(upto), "_total": F.sum("_m").over(Window.partitionBy(*groups))}
+    ).withColumns(
+        {"_low": F.floor((F.col("_total") + 1) / 2), "_high": F.floor((F.col("_total") + 2) / 2), "_start": F.col("_end") - F.col("_m")}
     )
-    low_rank, high_rank = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
-    holds = lambda rank: (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank)
-    return walked.groupBy(*groups).agg(
-        ((F.max(F.when(holds(low_rank), F.col("_x"))) + F.max(F.when(holds(high_rank), F.col("_x")))) / 2).alias("median")
+    middle = ranked.where((F.col("_start") < F.col("_high")) & (F.col("_end") >= F.col("_low")))
+    middle = middle.select(*groups, "_piece", "_start", "_low", "_high")
+    walk = Window.partitionBy(*groups, "_piece").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walked = counted.join(F.broadcast(middle), [*groups, "_piece"]).withColumn(
+        "_upto", F.col("_start") + F.sum("_n").over(walk)
     )
+    holds = lambda rank: (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank)
+    at = lambda rank: F.max(F.when(holds(F.col(rank)), F.col("_x")))
+    return walked.groupBy(*groups).agg(((at("_low") + at("_high")) / 2).alias("median"))
 
 
 def levene(df: DataFrame, features: Sequence[str], label: str = LABEL) -> DataFrame:

@@ -206,3 +206,12 @@ def test_histogram(table, local):
             counts[r.bin] = r.n
     assert counts.tolist() == np.histogram(local["a"], bins=40)[0].tolist()
     assert [(r.bin, r.n) for r in rows if r.feature == "c"] == [(20, 2000)]
+
+
+def test_median_of_continuous_and_hot_values(spark):
+    rng = np.random.default_rng(9)
+    x = rng.lognormal(size=20001)
+    y = np.where(np.arange(20001) % 3 == 0, 1.5, x)
+    df = spark.createDataFrame([("x", float(v)) for v in x] + [("y", float(v)) for v in y], "feature string, value double")
+    got = {r.feature: r["median"] for r in variance.exact_median(df, ["feature"]).collect()}
+    assert got == {"x": np.median(x), "y": np.median(y)}
