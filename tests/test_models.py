@@ -124,3 +124,18 @@ def test_gram(clusters):
     x = clusters.select(*NAMES).toPandas().to_numpy()
     ones = np.column_stack([np.ones(len(x)), x])
     assert np.allclose(gram_matrix(clusters, NAMES), ones.T @ ones)
+
+
+def test_deep_autoencoder_report(clusters):
+    report = autoencoder.deep_autoencoder(clusters, NAMES, "id", 2, epochs=40, passes=20, workers=2)
+    assert report.scored.count() == 64 and report.auc.first()[0] > 0.9
+    errors = {r.malware_label: r for r in report.errors.collect()}
+    cells = {(r.label, r.prediction): r.n for r in report.confusion.collect()}
+    assert errors[1].mean_loss > errors[0].mean_loss
+    assert sum(cells.values()) == 64 and cells[1, 1] == errors[1].anomalies and cells[0, 1] == errors[0].anomalies
+
+
+def test_cross_validation(clusters):
+    fit = lambda part: kernel.fit_svm(part, NAMES, components=64, probability=False, max_iter=10)
+    scores = train.cross_validate(clusters, "id", fit, folds=2).first()
+    assert scores.accuracy > 0.95 and scores.recall > 0.9 and 0 < scores.f_beta <= 1

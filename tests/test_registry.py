@@ -48,3 +48,19 @@ def test_twin(spark, db, name):
 def test_entry(spark):
     rows = entry(spark).collect()
     assert len(rows) == 2 and all(0 < r.blacklisted <= r.flows for r in rows)
+
+
+def test_extraction_modes(spark):
+    from pyspark.sql import functions as F
+
+    from flowscope import schema
+    from flowscope.plans.extract import extract_features
+    from flowscope.workload import fixtures as fx
+
+    clients, servers = fx.view(spark, FOLDER, "client_hello"), fx.view(spark, FOLDER, "server_hello")
+    known = fx.intelligence(spark, FOLDER)
+    wide = extract_features(clients, servers, known, F.col("malware_label"), one_to_one=True, stop_at_error=True)
+    assert wide.columns == ["flow_id", *schema.FEATURE_COLUMNS]
+    rows = wide.select("flow_id", "cs_unknown", "sig_070A").collect()
+    assert 0 < len(rows) == len({r.flow_id for r in rows}) <= clients.count()
+    assert all(r.sig_070A == 0 for r in rows)
