@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowscope.llm.common import table
 
 SHARDS = 8
+PII_KEY = "example key: deployments bring their own"
 
 
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,7 +25,16 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from flowscope.llm.pii import pseudonymised
+
+    fresh = pseudonymised(F.col("text"), PII_KEY)
+    docs = table(spark, folder, "documents").select("doc_id", fresh.alias("text"), F.col("text").alias("before"))
+    return docs.select("doc_id", "text", (~F.col("text").eqNullSafe(F.col("before"))).alias("changed"))
+
+
 QUERIES = {
+    "op7_pii": op7_pii,
     "op2_sharding": op2_sharding,
 }
 
