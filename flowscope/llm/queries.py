@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowscope.llm.common import table
 
 SHARDS = 8
+QUALITY_THRESHOLD = -0.08
 PII_KEY = "example key: deployments bring their own"
 
 
@@ -25,6 +26,13 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from flowscope.llm.quality import quality
+
+    trusted = table(spark, folder, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return quality(table(spark, folder, "documents"), trusted, QUALITY_THRESHOLD).withColumnRenamed("id", "doc_id")
+
+
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     from flowscope.llm.pii import pseudonymised
 
@@ -34,6 +42,7 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_quality": op6_quality,
     "op7_pii": op7_pii,
     "op2_sharding": op2_sharding,
 }
