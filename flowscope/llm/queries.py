@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowscope.llm.common import table
 
+LANGUAGE_MARGIN = 0.005
 SHARDS = 8
 QUALITY_THRESHOLD = -0.08
 PII_KEY = "example key: deployments bring their own"
 
 
+def remainder(modulus: int) -> Column:
+    """Of the checksum of doc_id as text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    from flowscope.llm.language import accepted, dictionaries, identify
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = dictionaries(docs.where(F.coalesce(remainder(4) != 2, F.lit(True))))
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out")
+    found = identify(docs, model)
+    return found.select("doc_id", held_out, "lang_pred", "score", accepted(LANGUAGE_MARGIN).alias("accepted"))
+
+
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     from flowscope.llm.sharding import shard_rows
 
@@ -42,6 +58,7 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language": op1_language,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
     "op2_sharding": op2_sharding,
