@@ -13,6 +13,13 @@ QUALITY_THRESHOLD = -0.08
 PII_KEY = "example key: deployments bring their own"
 
 
+def vocabulary_path() -> str:
+    """The installed file of the public vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def remainder(modulus: int) -> Column:
     """Of the checksum of doc_id as text."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
@@ -42,6 +49,12 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    from flowscope.llm.bpe import Vocabulary, encode
+
+    return encode(table(spark, folder, "documents"), Vocabulary(vocabulary_path()), ids=False)
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     from flowscope.llm.quality import quality
 
@@ -58,6 +71,7 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_bpe": op5_bpe,
     "op1_language": op1_language,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
