@@ -70,7 +70,15 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", "text", (~F.col("text").eqNullSafe(F.col("before"))).alias("changed"))
 
 
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from flowscope.llm.warc import archived
+
+    records = archived(table(spark, folder, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op9_warc": op9_warc,
     "op5_bpe": op5_bpe,
     "op1_language": op1_language,
     "op6_quality": op6_quality,
