@@ -77,7 +77,16 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_substring(spark: SparkSession, folder: str) -> DataFrame:
+    from flowscope.llm.substring import repeated
+
+    found = repeated(table(spark, folder, "documents"))
+    digest = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", digest)
+
+
 QUERIES = {
+    "op10_substring": op10_substring,
     "op9_warc": op9_warc,
     "op5_bpe": op5_bpe,
     "op1_language": op1_language,
