@@ -70,6 +70,12 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", "text", (~F.col("text").eqNullSafe(F.col("before"))).alias("changed"))
 
 
+def op8_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    from flowscope.llm.neardup import linked
+
+    return linked(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     from flowscope.llm.warc import archived
 
@@ -86,6 +92,7 @@ def op10_substring(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_neardup": op8_neardup,
     "op10_substring": op10_substring,
     "op9_warc": op9_warc,
     "op5_bpe": op5_bpe,
