@@ -49,6 +49,15 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_kneser(spark: SparkSession, folder: str) -> DataFrame:
+    from flowscope.llm.kneser import learned, scored
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = learned(docs.where(F.coalesce(remainder(7) != 2, F.lit(True))))
+    held_out = F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out")
+    return scored(docs, model).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     from flowscope.llm.bpe import Vocabulary, encode
 
@@ -92,6 +101,7 @@ def op10_substring(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_kneser": op3_kneser,
     "op8_neardup": op8_neardup,
     "op10_substring": op10_substring,
     "op9_warc": op9_warc,
