@@ -58,6 +58,17 @@ def op3_kneser(spark: SparkSession, folder: str) -> DataFrame:
     return scored(docs, model).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from flowscope.llm.decontaminate import overlaps
+
+    found = overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("overlaps", lambda x: x["item_id"])))
+    covered = F.aggregate("overlaps", F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["first"])
+    return found.select(
+        F.col("id").alias("doc_id"), (F.size("overlaps") > 0).alias("contaminated"), items.alias("item_ids"), covered.alias("overlap_tokens")
+    )
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     from flowscope.llm.bpe import Vocabulary, encode
 
@@ -101,6 +112,7 @@ def op10_substring(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_decontamination": op4_decontamination,
     "op3_kneser": op3_kneser,
     "op8_neardup": op8_neardup,
     "op10_substring": op10_substring,
