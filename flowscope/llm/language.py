@@ -105,17 +105,16 @@ def accepted(margin: float) -> Column:
 
 def keep_identified(docs: DataFrame, model: dict[str, bytes], margin: float, text: str = "text") -> DataFrame:
     """The documents, all columns, whose language is found with at least this margin."""
-    verdict = unused(docs, "_identified")
+    verdict, width, place = unused(docs, "_lettered"), len(docs.columns), docs.columns.index(text)
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(model)
         for batch in batches:
             kept = []
-            lettered = batch.column(len(batch.columns) - 1)
-            for has_letter, x in zip(lettered.to_pylist(), batch.column(docs.columns.index(text)), strict=True):
+            for has_letter, x in zip(batch.column(width).to_pylist(), batch.column(place), strict=True):
                 name, score = classify(x.as_py()) if has_letter else (UNDETERMINED, 0.0)
                 kept.append(name != UNDETERMINED and score >= margin)
-            yield batch.filter(pa.array(kept, pa.bool_())).select(range(len(docs.columns)))
+            yield batch.filter(pa.array(kept, pa.bool_())).select(list(range(width)))
 
     flagged = docs.withColumn(verdict, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     return flagged.mapInArrow(filtered, docs.schema)

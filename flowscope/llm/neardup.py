@@ -12,8 +12,8 @@ connected. At a similarity of 0.8 two documents miss each other in all 32 bands
 
 Defined results: null, blank and empty texts have no set, are linked with nothing and form a component of their own;
 a text with fewer words than a shingle has one shingle of all its words; rows that repeat an id are all kept if it is
-the component's smallest; a component without any id has a null component id, and its rows are kept; other columns
-are ignored.
+the component's smallest; a row without id is kept if its component has no id at all, whose component id is null;
+other columns are ignored, and kept as they are by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.llm import tokens
+from flowscope.llm.common import unused
 from flowscope.operators.skew import BROADCAST_ROWS, salted_join
 from flowscope.session import materialized
 
@@ -89,7 +90,7 @@ def names(hashes: np.ndarray, begins: np.ndarray) -> list[bytes]:
 
 
 def sketched(size: int):
-    """(id, text) to (id, n_shingles, node, bands): node is 128 bits of hash of the set."""
+    """(id, text, text_hash) to (id, text_hash, n_shingles, node, bands): node is 128 bits of hash of the set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -108,8 +109,8 @@ def sketched(size: int):
                     for i, name, key in zip(some.tolist(), names(hashes, edges), keys, strict=True):
                         nodes[i], bands[i] = name, key
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["id", "n_shingles", "node", "bands"],
+                    [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["id", "text_hash", "n_shingles", "node", "bands"],
                 )
 
     return sketch
@@ -194,10 +195,11 @@ def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, size: int = 4, percent: int = 80, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every document."""
-    rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
+    """(id, text_hash, n_shingles, component_id, kept) of every document."""
+    rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     kind = rows.schema["id"].dataType.simpleString()
-    sketches = materialized(rows.mapInArrow(sketched(size), f"id {kind}, n_shingles bigint, node binary, bands array<bigint>"), "sketches")
+    sketch = f"id {kind}, text_hash bigint, n_shingles bigint, node binary, bands array<bigint>"
+    sketches = materialized(rows.mapInArrow(sketched(size), sketch), "sketches")
     full = sketches.where("node is not null")
     nodes = materialized(full.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "nodes")
     owners = nodes.select("node", "id")
@@ -236,7 +238,29 @@ def linked(docs: DataFrame, size: int = 4, percent: int = 80, text: str = "text"
         grouped = labels.join(smallest, "to").select("node", "smallest")
         parts = parts.join(grouped, "node", "left").select("node", F.coalesce("smallest", "least").alias("least"))
     parts = materialized(parts, "parts")
-    narrow = sketches.select("id", "n_shingles", "node")
+    narrow = sketches.select("id", "text_hash", "n_shingles", "node")
     out = salted_join(narrow, parts, ["node"], ["id"], "left", hot_source=full.select("node"))
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("least"))
-    return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("id") == component, component.isNull())
+    return out.select("id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """One document of each component, all columns: the one with the smallest id. Of rows that repeat its id within
+    the component, and of the rows of a component without ids, one stays for each text."""
+    found = materialized(linked(docs, size, percent, text, ident), "linked")
+    empty = F.col("n_shingles") == 0
+    gone = found.where(~F.col("kept")).select("id", "text_hash").distinct()
+    again = found.where(F.col("kept") & ~empty).groupBy("id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("id", "text_hash")
+    hash_, own = unused(docs, "_text_hash"), docs.columns
+    rows = docs.withColumn(hash_, F.xxhash64(F.col(text)))
+
+    def met(side: DataFrame, how: str) -> DataFrame:
+        side = F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+        return rows.join(side, rows[ident].eqNullSafe(side["id"]) & (rows[hash_] == side["text_hash"]), how)
+
+    again = materialized(again, "again")
+    rows = met(materialized(gone, "gone"), "left_anti")
+    if again.isEmpty():
+        return rows.select(own)
+    return met(again, "left_anti").select(own).union(met(again, "left_semi").dropDuplicates([ident, hash_]).select(own))

@@ -93,7 +93,8 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
 def op8_neardup(spark: SparkSession, folder: str) -> DataFrame:
     from flowscope.llm.neardup import linked
 
-    return linked(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+    found = linked(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
