@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowscope.llm.common import table
+from flowscope.llm.twins import SQL  # noqa: F401  registered beside the queries
 
 LANGUAGE_MARGIN = 0.005
 SHARDS = 8
@@ -113,16 +114,14 @@ def op10_substring(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "op4_decontamination": op4_decontamination,
+    "op1_language": op1_language,
+    "op2_sharding": op2_sharding,
     "op3_kneser": op3_kneser,
-    "op8_neardup": op8_neardup,
-    "op10_substring": op10_substring,
-    "op9_warc": op9_warc,
+    "op4_decontamination": op4_decontamination,
     "op5_bpe": op5_bpe,
-    "op1_language": op1_language,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
-    "op2_sharding": op2_sharding,
+    "op8_neardup": op8_neardup,
+    "op9_warc": op9_warc,
+    "op10_substring": op10_substring,
 }
-
-SQL: dict[str, str] = {}
