@@ -5,10 +5,12 @@ A document's set is the distinct hashes of its word shingles (A-Z in lower case)
 hashes meets first among the full ones. ``ROWS`` bins form a band; documents with an equal band share a bucket.
 
 Documents with equal sets are one node from the start, however many they are. In a bucket, edges go from one centre to
-the other members only (a star). Each edge is confirmed on the full sets, and confirmed edges join components. Buckets
-that still hold several components are gone through again with new centres, twice as many each round, until each is
-in one component or each of its members has been a centre: no pair of a bucket is left out unless it is already
-connected. At a similarity of 0.8 two documents miss each other in all 32 bands with a probability below 1e-7.
+the other members only (a star), so their number follows the members', not its square. Each edge is confirmed on the
+full sets, and confirmed edges join components. Two similar nodes can both be unlike the centre of a bucket; so
+further passes, up to ``PASSES`` or until one finds no link, form finer buckets of three bands at a time (others in each pass, with
+other centres) for what is still in several components. No bucket, star or component has a limit. At a similarity of 0.8
+two documents miss each other in all 32 bands with a probability below 1e-7; the README says how many links the
+passes find of those that all pairs would.
 
 Defined results: null, blank and empty texts have no set, are linked with nothing and form a component of their own;
 a text with fewer words than a shingle has one shingle of all its words; rows that repeat an id are all kept if it is
@@ -31,6 +33,7 @@ from flowscope.operators.skew import BROADCAST_ROWS, salted_join
 from flowscope.session import materialized
 
 BINS, ROWS = 128, 4
+PASSES = 8
 SLICE_BYTES = 2_000_000
 
 
@@ -153,13 +156,16 @@ def similar(percent: int):
     return confirm
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, owners: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs of nodes (a, b) that are similar enough. ``owners`` names the id of a row with each node's set."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    owners = materialized(owners.join(nodes, "node", "left_semi").withColumnRenamed("id", "owner"), "owners")
+def node_sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, hashes) of the wanted (node, id): the id is that of a row with the node's set."""
+    owners = wanted.select("node", F.col("id").alias("owner"))
     small = F.broadcast(owners) if owners.count() <= BROADCAST_ROWS else owners
     texts = rows.join(small, rows["id"].eqNullSafe(small["owner"])).select("node", "text")
-    sets = materialized(texts.mapInArrow(set_rows(size), "node binary, hashes binary").dropDuplicates(["node"]), "sets")
+    return materialized(texts.mapInArrow(set_rows(size), "node binary, hashes binary").dropDuplicates(["node"]), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of nodes (a, b) that are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
@@ -181,17 +187,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels (node, to) with the components that further links join; only the labels' graph is gone through."""
-    if labels is None:
-        return components(links)
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    fresh = ends.join(labels, "node", "left_anti").withColumn("to", F.col("node"))
-    known = materialized(labels.select("node", "to").union(fresh), "known")
-    of_a, of_b = (known.select(F.col("node").alias(x), F.col("to").alias(f"{x}_to")) for x in ("a", "b"))
-    between = links.join(of_a, "a").join(of_b, "b").where("a_to <> b_to").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
-    moved = components(between).select(F.col("node").alias("to"), F.col("to").alias("further"))
-    return materialized(known.join(moved, "to", "left").select("node", F.coalesce("further", "to").alias("to")), "labels")
+def bucketed(nodes: DataFrame, turn: int) -> DataFrame:
+    """(key, node, comp) of a pass: a bucket for each band, in later passes for each band with two others, which lie
+    ``turn`` and twice ``turn`` bands on."""
+    bands = BINS // ROWS
+    rows = nodes.select("node", "comp", "bands", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("at"))
+    parts = [F.get("bands", (F.col("at") + k * turn) % bands) for k in range(3 if turn else 1)]
+    return rows.select(F.xxhash64(*parts).alias("key"), "node", "comp")
+
+
+def starred(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs of nodes (a, b): in each bucket with several components, one node and those of other components."""
+    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.col("node"), F.col("comp")))
+    stars = members.groupBy("key").agg(first.alias("centre"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+    stars = stars.where("least < most").select("key", F.col("centre.node").alias("centre"), F.col("centre.comp").alias("of_centre"))
+    met = members.join(stars, "key").where("comp <> of_centre")
+    return met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, size: int = 4, percent: int = 80, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -202,41 +213,31 @@ def linked(docs: DataFrame, size: int = 4, percent: int = 80, text: str = "text"
     sketches = materialized(rows.mapInArrow(sketched(size), sketch), "sketches")
     full = sketches.where("node is not null")
     nodes = materialized(full.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "nodes")
-    owners = nodes.select("node", "id")
-
-    keyed = nodes.select(F.explode("bands").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = materialized(keyed.join(shared, "key").withColumn("turn", F.xxhash64("node")), "members")
-    labels = tested = None
-    slots = 1
-    while True:
-        if labels is None:
-            open_ = members.withColumn("comp", F.col("node"))
-        else:
-            named = members.join(labels, "node", "left").withColumn("comp", F.coalesce("to", "node")).drop("to")
-            several = named.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one < other")
-            open_ = materialized(named.join(several.select("key"), "key"), "open")
-        slot = F.pmod(F.xxhash64("turn"), F.lit(slots))
-        centres = open_.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("turn", "node", "comp")).alias("centre"))
-        centres = materialized(centres.select("key", "centre.*"), "centres")
-        if centres.isEmpty():
-            break
-        star = centres.select("key", F.col("node").alias("centre"), F.col("comp").alias("centre_comp"))
-        pairs = open_.join(star, "key").where("comp <> centre_comp")
-        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        pairs = materialized(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        if not pairs.isEmpty():
-            labels = relabelled(labels, confirmed(pairs, rows, owners, size, percent))
-        left = open_.select("key", "node", "turn").join(centres.select("key", "node"), ["key", "node"], "left_anti")
-        members = materialized(left, "members")
-        slots *= 2
-
-    parts = owners.withColumnRenamed("id", "least")
-    if labels is not None:
-        smallest = parts.join(labels, "node").groupBy("to").agg(F.min("least").alias("smallest"))
-        grouped = labels.join(smallest, "to").select("node", "smallest")
-        parts = parts.join(grouped, "node", "left").select("node", F.coalesce("smallest", "least").alias("least"))
+    # the first pass goes over all nodes, the later ones over those that share a bucket with another
+    every = nodes.withColumn("comp", F.col("node"))
+    pairs = materialized(starred(bucketed(every, 0), 0), "pairs")
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    active = materialized(every.join(met, "node", "left_semi"), "active")
+    sets = node_sets(rows, active, size)
+    tested = pairs
+    for turn in range(PASSES):
+        if turn:
+            pairs = materialized(starred(bucketed(active, turn), turn).join(tested, ["a", "b"], "left_anti"), "pairs")
+            tested = tested.union(pairs)
+        links = confirmed(pairs, sets, percent)
+        if links.isEmpty():
+            if turn:
+                break
+            continue
+        of_a, of_b = (active.select(F.col("node").alias(x), F.col("comp").alias(f"of_{x}")) for x in ("a", "b"))
+        between = links.join(of_a, "a").join(of_b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+        moved = components(between).select(F.col("node").alias("comp"), "to")
+        active = active.join(moved, "comp", "left").select("node", "id", "bands", F.coalesce("to", "comp").alias("comp"))
+        active = materialized(active, "active")
+
+    smallest = active.groupBy("comp").agg(F.min("id").alias("smallest"))
+    grouped = active.select("node", "comp").join(smallest, "comp").select("node", "smallest")
+    parts = nodes.select("node", "id").join(grouped, "node", "left").select("node", F.coalesce("smallest", "id").alias("least"))
     parts = materialized(parts, "parts")
     narrow = sketches.select("id", "text_hash", "n_shingles", "node")
     out = salted_join(narrow, parts, ["node"], ["id"], "left", hot_source=full.select("node"))
