@@ -1,9 +1,10 @@
 """Quality rules with DataFrame operations only: counts of each text, and a hashed n-gram likelihood ratio.
 
 Words and pairs of neighbouring words are hashed into ``BUCKETS`` buckets. One multinomial over the buckets is counted
-from trusted documents, one from all documents; both with half a count added to every bucket. A document's score is
-the sum of its n-grams' log ratios (trusted over raw) divided by their number, and a document is kept if its score is
-at least the threshold. The table of log ratios has ``BUCKETS`` numbers at any input size. Scores are sums in text order, so equal texts always get equal verdicts.
+from trusted documents, one from all documents; every bucket of both gets the same prior of ``SMOOTHING`` trusted
+counts. A document's score is the sum of its n-grams' log ratios (trusted over raw) divided by their number, and a
+document is kept if its score is at least the threshold. The table of log ratios has ``BUCKETS`` numbers at any input
+size. Scores are sums in text order, so equal texts always get equal verdicts.
 
 Defined results: null, empty and blank texts have no words and fail the base rules; repeated rows are counted as often
 as they occur; without trusted documents every score is 0; a trusted id that is null or unknown counts nothing;
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from flowscope.llm.common import let, words
 from flowscope.operators.skew import BROADCAST_ROWS
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 18
+#: Counts added to each bucket, on the trusted corpus's scale: rare n-grams say little about other documents.
+SMOOTHING = 20.0
 WINDOW = 5
 SYMBOLS = "[#*$%&|<>]"
 
@@ -56,8 +59,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", ident: s
     whole = every.agg(rows.alias("rows"), F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("target"))
 
     def ratio(x: Column) -> Column:
-        target = F.log((x["target"] + 0.5) / (F.col("target") + 0.5 * BUCKETS))
-        return F.when(F.col("target") == 0, F.lit(0.0)).otherwise(target - F.log((x["raw"] + 0.5) / (F.col("raw") + 0.5 * BUCKETS)))
+        expected = x["raw"] * (F.col("target") / F.col("raw"))
+        return F.when(F.col("target") == 0, F.lit(0.0)).otherwise(F.log((x["target"] + SMOOTHING) / (expected + SMOOTHING)))
 
     return whole.select(F.transform("rows", ratio).alias("ratios")).scalar()
 

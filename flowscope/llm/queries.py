@@ -10,7 +10,7 @@ from flowscope.llm.twins import SQL  # noqa: F401  registered beside the queries
 
 LANGUAGE_MARGIN = 0.005
 SHARDS = 8
-QUALITY_THRESHOLD = -0.08
+QUALITY_THRESHOLD = -0.15
 PII_KEY = "example key: deployments bring their own"
 
 

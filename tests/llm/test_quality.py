@@ -47,7 +47,7 @@ def ratios(rows, trusted):
     r, t = sum(raw.values()), sum(target.values())
     if not t:
         return lambda b: 0.0
-    return lambda b: math.log((target[b] + 0.5) / (t + 0.5 * Q.BUCKETS)) - math.log((raw[b] + 0.5) / (r + 0.5 * Q.BUCKETS))
+    return lambda b: math.log((target[b] + Q.SMOOTHING) / (raw[b] * (t / r) + Q.SMOOTHING))
 
 
 def corpus():
