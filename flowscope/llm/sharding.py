@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowscope.llm.common import unused
 from flowscope.session import materialized
 
 KEY_BITS = 60
@@ -128,10 +129,12 @@ def shard_rows(docs: DataFrame, shards: int, text: str = "text", ident: str = "d
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, text: str = "text", ident: str = "doc_id", tolerance: float = 0.0) -> None:
-    """Whole rows of ``docs`` in folders ``shard=N``, in key order within and across the files of a shard."""
+    """Whole rows of ``docs`` in folders ``shard=N``, in key order within and across the files of a shard. A column
+    named shard is replaced."""
     size = (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + F.lit(1)).cast("bigint")
     narrow = materialized(docs.select(sort_key(text, ident).alias("key"), size.alias("size")), "keys")
     bounds = splitters(narrow, "key", "size", shards, tolerance)
-    keyed = docs.withColumn("_key", sort_key(text, ident)).withColumn("shard", shard_of(F.col("_key"), bounds))
-    ordered = keyed.repartitionByRange("shard", "_key").sortWithinPartitions("shard", "_key")
-    ordered.drop("_key").write.partitionBy("shard").parquet(path)
+    key = unused(docs, "_key")
+    keyed = docs.withColumn(key, sort_key(text, ident)).withColumn("shard", shard_of(F.col(key), bounds))
+    ordered = keyed.repartitionByRange("shard", key).sortWithinPartitions("shard", key)
+    ordered.drop(key).write.partitionBy("shard").parquet(path)
