@@ -26,10 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowscope.llm.tokens import releasing
+
 KEPT_UNITS = 300_000
 #: Symbols that are merged in one array, and bytes of text whose new units are merged together.
-ARRAY_SYMBOLS = 4_000_000
-BATCH_BYTES = 8_000_000
+ARRAY_SYMBOLS = 1_000_000
+BATCH_BYTES = 2_000_000
 
 #: White space in the sense of the pre-tokenizer, and its pattern.
 SPACE = " \t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -296,7 +298,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: tu
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:width]]
     fields += ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string", *["ids array<int>"] * ids]
-    return narrow.mapInArrow(coded, ", ".join(fields))
+    return narrow.mapInArrow(releasing(coded), ", ".join(fields))
 
 
 def bounded(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:

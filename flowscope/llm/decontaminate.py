@@ -30,8 +30,8 @@ from flowscope.llm import tokens
 WINDOW, SUBSTITUTIONS, SHORTEST = 12, 2, 8
 MASKS = ("1111011", "11101011", "11001111")
 BLOCK_BYTES = 4_000_000
-SLICE_BYTES = 4_000_000
-FILTER_BITS = 22
+SLICE_BYTES = 1_000_000
+FILTER_BITS = 20
 OVERLAPS = "array<struct<item_id: bigint, first: bigint, end: bigint>>"
 
 
@@ -142,7 +142,7 @@ def overlaps(docs: DataFrame, items: DataFrame, text: str = "text", ident: str =
     rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"), F.array().cast(OVERLAPS).alias("overlaps"))
     kind = rows.schema["id"].dataType.simpleString()
     for block in blocks(items):
-        rows = rows.mapInArrow(spans(block), f"id {kind}, text string, overlaps {OVERLAPS}")
+        rows = rows.mapInArrow(tokens.releasing(spans(block)), f"id {kind}, text string, overlaps {OVERLAPS}")
     return rows.select("id", "overlaps")
 
 
@@ -163,7 +163,7 @@ def spans(block: TestSet):
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents, all columns, that overlap no item. The blocks are filters behind each other."""
     for block in blocks(items):
-        docs = docs.mapInArrow(clean(block, docs.columns.index(text)), docs.schema)
+        docs = docs.mapInArrow(tokens.releasing(clean(block, docs.columns.index(text))), docs.schema)
     return docs
 
 

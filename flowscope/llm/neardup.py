@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from flowscope.llm import tokens
 from flowscope.llm.common import unused
-from flowscope.operators.skew import BROADCAST_ROWS, salted_join
+from flowscope.operators.skew import BROADCAST_ROWS, attach, salted_join
 from flowscope.session import materialized
 
 BINS, ROWS = 128, 4
 PASSES = 8
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +161,7 @@ def node_sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     owners = wanted.select("node", F.col("id").alias("owner"))
     small = F.broadcast(owners) if owners.count() <= BROADCAST_ROWS else owners
     texts = rows.join(small, rows["id"].eqNullSafe(small["owner"])).select("node", "text")
-    return materialized(texts.mapInArrow(set_rows(size), "node binary, hashes binary").dropDuplicates(["node"]), "sets")
+    return materialized(texts.mapInArrow(tokens.releasing(set_rows(size)), "node binary, hashes binary").dropDuplicates(["node"]), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -210,7 +210,7 @@ def linked(docs: DataFrame, size: int = 4, percent: int = 80, text: str = "text"
     rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     kind = rows.schema["id"].dataType.simpleString()
     sketch = f"id {kind}, text_hash bigint, n_shingles bigint, node binary, bands array<bigint>"
-    sketches = materialized(rows.mapInArrow(sketched(size), sketch), "sketches")
+    sketches = materialized(rows.mapInArrow(tokens.releasing(sketched(size)), sketch), "sketches")
     full = sketches.where("node is not null")
     nodes = materialized(full.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "nodes")
     # the first pass goes over all nodes, the later ones over those that share a bucket with another
@@ -232,11 +232,11 @@ def linked(docs: DataFrame, size: int = 4, percent: int = 80, text: str = "text"
         of_a, of_b = (active.select(F.col("node").alias(x), F.col("comp").alias(f"of_{x}")) for x in ("a", "b"))
         between = links.join(of_a, "a").join(of_b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
         moved = components(between).select(F.col("node").alias("comp"), "to")
-        active = active.join(moved, "comp", "left").select("node", "id", "bands", F.coalesce("to", "comp").alias("comp"))
-        active = materialized(active, "active")
+        active = attach(active, moved, ["comp"], ["node"])
+        active = materialized(active.select("node", "id", "bands", F.coalesce("to", "comp").alias("comp")), "active")
 
     smallest = active.groupBy("comp").agg(F.min("id").alias("smallest"))
-    grouped = active.select("node", "comp").join(smallest, "comp").select("node", "smallest")
+    grouped = attach(active.select("node", "comp"), smallest, ["comp"], ["node"]).select("node", "smallest")
     parts = nodes.select("node", "id").join(grouped, "node", "left").select("node", F.coalesce("smallest", "id").alias("least"))
     parts = materialized(parts, "parts")
     narrow = sketches.select("id", "text_hash", "n_shingles", "node")

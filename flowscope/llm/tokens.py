@@ -7,7 +7,8 @@ a window's hash is made of its words' hashes in the same way.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD_BASE = np.uint64(0xD1342543DE82EF95)
 
@@ -144,6 +145,21 @@ def words(texts: pa.Array, lower: bool = False, inside=in_word) -> Words:
     )
 
 
+def releasing(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work`` on batches; at its end, memory that is free goes back to the system, as workers are kept for later tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def sliced(batch: pa.RecordBatch, column: int | str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``most`` bytes of text, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
