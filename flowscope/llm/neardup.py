@@ -33,7 +33,7 @@ from flowscope.operators.skew import BROADCAST_ROWS, attach, salted_join
 from flowscope.session import materialized
 
 BINS, ROWS = 128, 4
-PASSES = 8
+PASSES = 12
 SLICE_BYTES = 1_000_000
 
 
