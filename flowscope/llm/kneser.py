@@ -33,8 +33,8 @@ from flowscope.llm.shared import mapped, put
 from flowscope.llm.substring import bucket_of
 from flowscope.session import materialized, scratch_path
 
-SLICE_BYTES = 8_000_000
-BUCKET_BYTES = 16_000_000
+SLICE_BYTES = 2_000_000
+BUCKET_BYTES = 4_000_000
 END = np.uint64(0x0123456789ABCDEF)
 LOW = np.uint64(0xFFFFFFFF)
 HALF = np.uint64(32)
@@ -175,7 +175,8 @@ def vocabulary(texts: DataFrame, folder: str, buckets: int) -> Vocabulary:
         name = put(folder, items, numbers)
         return pa.table([[key[0].as_py()], [name], [len(items)], [int(numbers.sum())], [None], [None], [None], [None]], schema=SCHEMA)
 
-    made = materialized(texts.mapInArrow(count, COUNTED).groupBy("bucket").applyInArrow(write, WRITTEN), "words")
+    made = texts.mapInArrow(tokens.releasing(count), COUNTED).groupBy("bucket").applyInArrow(write, WRITTEN)
+    made = materialized(made, "words")
     total = made.agg(F.sum("total")).first()[0] or 0
     rows = made.select("bucket", "name", "size").collect()  # one for each bucket
     names, sizes = [None] * buckets, np.zeros(buckets + 1, np.int64)
@@ -324,7 +325,8 @@ def learned(docs: DataFrame, text: str = "text") -> Model:
         counts = [*tallies(numbers), int((numbers >= 3).sum())]
         return pa.table([[b], [name], [len(items)], [int(numbers.sum())], [counts], [None], [None], [None]], schema=SCHEMA)
 
-    made = materialized(texts.mapInArrow(count, COUNTED).groupBy("bucket").applyInArrow(write, WRITTEN), "pairs")
+    made = texts.mapInArrow(tokens.releasing(count), COUNTED).groupBy("bucket").applyInArrow(write, WRITTEN)
+    made = materialized(made, "pairs")
     files = made.where("name is not null").drop("items", "counts", "hot").collect()  # one for each bucket
     names, sizes = [None] * buckets, [0] * buckets
     for row in files:
@@ -372,4 +374,4 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:width]]
     fields += ["n_tokens bigint", "n_known bigint", "train_tokens bigint", "base_score double", "score double", "perplexity double"]
-    return narrow.mapInArrow(score, ", ".join(fields))
+    return narrow.mapInArrow(tokens.releasing(score), ", ".join(fields))
