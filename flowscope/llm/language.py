@@ -1,7 +1,7 @@
 """Language identification by compression.
 
 Each learned language has a raw-content dictionary: a bounded sample of labelled text (at most ``DICTIONARY_BYTES``
-bytes, from the ``ROWS`` labelled rows with the least hash, equal parts of each). A text is cut into blocks of
+bytes, from the ``ROWS`` labelled texts with the least hash, equal parts of each). A text is cut into blocks of
 ``BLOCK_BYTES``; every block of the whole text is compressed with every dictionary, the sizes are added up, and the
 language with the smallest sum is chosen. Texts are compared in lower case. Short blocks keep the dictionary useful in long texts, which would otherwise
 teach the compressor their own words. Only the sample and the dictionaries made of it are bounded; they are the
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowscope.llm.common import unused
+from flowscope.llm.tokens import releasing
 
 MAX_LANGUAGES = 64
 DICTIONARY_BYTES = 64 * 1024
@@ -37,21 +38,28 @@ UNDETERMINED = "und"
 def dictionaries(labelled: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, bytes]:
     """Dictionary of each language in the labelled rows. Raises if there are more than MAX_LANGUAGES."""
     part = DICTIONARY_BYTES // ROWS
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    # a piece of the text from a place that its hash picks, so that common openings don't fill the dictionary
     hashed = F.xxhash64(F.col(text))
-    start = F.pmod(hashed, F.greatest(F.length(F.col(text)) - F.lit(part), F.lit(1)).cast("bigint")).cast("int") + 1
-    pieces = rows.select(
-        F.col(lang).alias("lang"), hashed.alias("hash"), F.lower(F.substr(F.col(text), start, F.lit(part))).alias("piece")
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+        F.col(lang).alias("lang"), hashed.alias("hash"), F.col(text).alias("text")
     )
-    least = Window.partitionBy("lang").orderBy("hash", "piece")
-    # the rank filter keeps ROWS rows of a language on every task before the exchange
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not sizes:
+        return {}
+    # the share of all hashes that leaves a few times ROWS texts of a language, so that little is exchanged
+    share = F.lit(0.0)
+    for size in sizes:
+        share = F.when(F.col("lang") == size.lang, F.lit(min(1.0, 8 * ROWS / max(1, size.n)))).otherwise(share)
+    rows = rows.where(F.shiftrightunsigned("hash", 11) / F.lit(float(1 << 53)) <= share)
+    # a piece of the text from a place that its hash picks, so that common openings don't fill the dictionary
+    start = F.pmod(F.col("hash"), F.greatest(F.length("text") - F.lit(part), F.lit(1)).cast("bigint")).cast("int") + 1
+    pieces = rows.groupBy("lang", "hash").agg(F.min(F.lower(F.substr(F.col("text"), start, F.lit(part)))).alias("piece"))
+    least = Window.partitionBy("lang").orderBy("hash")
     sample = pieces.withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= ROWS)
     found: dict[str, list[bytes]] = {}
-    for row in sample.orderBy("lang", "rank").limit((MAX_LANGUAGES + 1) * ROWS).toLocalIterator():
+    for row in sorted(sample.collect(), key=lambda r: (r.lang, r.rank)):  # at most MAX_LANGUAGES * ROWS pieces
         found.setdefault(row.lang, []).append(row.piece.encode())
-        if len(found) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return {name: b" ".join(parts)[:DICTIONARY_BYTES] for name, parts in found.items()}
 
 
@@ -96,7 +104,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text", keep:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], found, scores], names=[*keep, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[: len(keep)])
-    return narrow.mapInArrow(classified, f"{fields}, lang_pred string, score double")
+    return narrow.mapInArrow(releasing(classified), f"{fields}, lang_pred string, score double")
 
 
 def accepted(margin: float) -> Column:
@@ -117,4 +125,4 @@ def keep_identified(docs: DataFrame, model: dict[str, bytes], margin: float, tex
             yield batch.filter(pa.array(kept, pa.bool_())).select(list(range(width)))
 
     flagged = docs.withColumn(verdict, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    return flagged.mapInArrow(filtered, docs.schema)
+    return flagged.mapInArrow(releasing(filtered), docs.schema)
