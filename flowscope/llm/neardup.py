@@ -8,9 +8,10 @@ Documents with equal sets are one node from the start, however many they are. In
 the other members only (a star), so their number follows the members', not its square. Each edge is confirmed on the
 full sets, and confirmed edges join components. Two similar nodes can both be unlike the centre of a bucket; so
 further passes, up to ``PASSES`` or until one finds no link, form finer buckets of three bands at a time (others in each pass, with
-other centres) for what is still in several components. No bucket, star or component has a limit. At a similarity of 0.8
-two documents miss each other in all 32 bands with a probability below 1e-7; the README says how many links the
-passes find of those that all pairs would.
+other centres) for what is still in several components. The passes only save work: at the end all pairs of nodes that
+share a bucket and are still in different components are compared on the full sets, but for pairs whose sizes alone
+rule out the similarity. So no candidate is left untested, and no bucket, star or component has a limit. At a
+similarity of 0.8 two documents miss each other in all 32 bands with a probability below 1e-7.
 
 Defined results: null, blank and empty texts have no set, are linked with nothing and form a component of their own;
 a text with fewer words than a shingle has one shingle of all its words; rows that repeat an id are all kept if it is
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.llm import tokens
@@ -35,6 +36,12 @@ from flowscope.session import materialized
 BINS, ROWS = 128, 4
 PASSES = 12
 SLICE_BYTES = 1_000_000
+#: Nodes are numbered 64 at a time: the number's last digit to this base is the size class of its set.
+CLASSES = 64
+#: Mean size of a block of sets of one size class, in bytes and in sets.
+BLOCK_BYTES, BLOCK_SETS = 8_000_000, 2_000
+#: Parts of a hot bucket when pairs are formed.
+BUCKET_PARTS = 8
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,6 +212,80 @@ def starred(members: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
+def numbered(nodes: DataFrame) -> DataFrame:
+    """With a distinct number for each node, whose remainder by ``CLASSES`` says how many shingles it has: a class
+    goes up to 1.25 times its least, so that similar sets lie in a few neighbouring classes."""
+    step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(1.25)))
+    return nodes.withColumn("number", F.monotonically_increasing_id() * CLASSES + F.least(step, F.lit(CLASSES - 1)))
+
+
+def rivals(active: DataFrame, percent: int) -> DataFrame:
+    """All pairs of numbers (a, b) that share a bucket, lie in different components, and have sizes that allow the
+    similarity."""
+    rows = active.select("number", "comp", "n_shingles", F.posexplode("bands").alias("at", "band"))
+    members = rows.select(F.xxhash64("at", "band").alias("key"), "number", "comp", F.col("n_shingles").alias("n"))
+    split = members.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
+    members = materialized(members.join(split.select("key"), "key", "left_semi"), "members")
+    left, right = (members.select("key", F.col("number").alias(x), F.col("comp").alias(f"of_{x}"), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
+    both = salted_join(left, right, ["key"], ["a"], salts=BUCKET_PARTS)
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return materialized(both.where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & fits).select("a", "b").distinct(), "rivals")
+
+
+def compared(percent: int):
+    """The pairs (a, b) of two blocks that are similar enough, from all pairs and the sets (number, hashes) of both."""
+
+    def compare(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        place = {n: i for i, n in enumerate(sets["number"].to_pylist())}
+        hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets["hashes"]]
+        a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        cuts = np.flatnonzero(np.concatenate((np.ones(min(len(a), 1), bool), a[1:] != a[:-1], np.ones(1, bool))))
+        kept = np.zeros(len(a), bool)
+        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = hashes[place[int(a[begin])]]
+            others = [hashes[place[n]] for n in b[begin:end].tolist()]
+            sizes = np.array([len(x) for x in others])
+            flat = np.concatenate(others)
+            at = np.searchsorted(own, flat)
+            same = own[np.minimum(at, len(own) - 1)] == flat
+            both = np.add.reduceat(same, np.cumsum(sizes) - sizes, dtype=np.int64)
+            kept[begin:end] = 100 * both >= percent * (len(own) + sizes - both)
+        return pa.table({"a": pa.array(a[kept], pa.int64()), "b": pa.array(b[kept], pa.int64())})
+
+    return compare
+
+
+def rest(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The similar pairs of numbers (a, b) among all ``rivals``. Sets lie in blocks; the pairs of two blocks are
+    compared in one place, so a set travels once for each block that its rivals lie in, not once for each rival."""
+    pairs = rivals(active, percent)
+    sizes = active.groupBy((F.col("number") % CLASSES).alias("class")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes"))
+    parts = [1] * CLASSES
+    for r in sizes.collect():  # CLASSES rows at most
+        parts[r["class"]] = 1 + max(8 * r.hashes // BLOCK_BYTES, r.n // BLOCK_SETS)
+
+    def block(number: Column) -> Column:
+        part = F.pmod(F.xxhash64(number), F.get(F.array(*map(F.lit, parts)), (number % CLASSES).cast("int")))
+        return part * CLASSES + number % CLASSES
+
+    one, two = block(F.col("a")), block(F.col("b"))
+    dealt = pairs.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y"), "a", "b")
+    wanted = dealt.select(F.col("x").alias("of_x"), F.col("y").alias("of_y"), F.explode(F.array("a", "b")).alias("number")).distinct()
+    wanted = wanted.join(active.select("number", "node"), "number").join(sets, "node").select("of_x", "of_y", "number", "hashes")
+    return materialized(dealt.groupBy("x", "y").cogroup(wanted.groupBy("of_x", "of_y")).applyInArrow(compared(percent), "a bigint, b bigint"), "rest")
+
+
+def joined(active: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """``active`` with the components that the links (a, b) between values of ``key`` join."""
+    of_a, of_b = (active.select(F.col(key).alias(x), F.col("comp").alias(f"of_{x}")) for x in ("a", "b"))
+    between = links.join(of_a, "a").join(of_b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    moved = components(between).select(F.col("node").alias("comp"), "to")
+    names_ = [c for c in active.columns if c != "comp"]
+    return materialized(attach(active, moved, ["comp"], ["node"]).select(*names_, F.coalesce("to", "comp").alias("comp")), "active")
+
+
 def linked(docs: DataFrame, size: int = 4, percent: int = 80, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """(id, text_hash, n_shingles, component_id, kept) of every document."""
     rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
@@ -212,12 +293,12 @@ def linked(docs: DataFrame, size: int = 4, percent: int = 80, text: str = "text"
     sketch = f"id {kind}, text_hash bigint, n_shingles bigint, node binary, bands array<bigint>"
     sketches = materialized(rows.mapInArrow(tokens.releasing(sketched(size)), sketch), "sketches")
     full = sketches.where("node is not null")
-    nodes = materialized(full.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "nodes")
+    nodes = materialized(full.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")), "nodes")
     # the first pass goes over all nodes, the later ones over those that share a bucket with another
     every = nodes.withColumn("comp", F.col("node"))
     pairs = materialized(starred(bucketed(every, 0), 0), "pairs")
     met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    active = materialized(every.join(met, "node", "left_semi"), "active")
+    active = materialized(numbered(every.join(met, "node", "left_semi")), "active")
     sets = node_sets(rows, active, size)
     tested = pairs
     for turn in range(PASSES):
@@ -229,11 +310,10 @@ def linked(docs: DataFrame, size: int = 4, percent: int = 80, text: str = "text"
             if turn:
                 break
             continue
-        of_a, of_b = (active.select(F.col("node").alias(x), F.col("comp").alias(f"of_{x}")) for x in ("a", "b"))
-        between = links.join(of_a, "a").join(of_b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-        moved = components(between).select(F.col("node").alias("comp"), "to")
-        active = attach(active, moved, ["comp"], ["node"])
-        active = materialized(active.select("node", "id", "bands", F.coalesce("to", "comp").alias("comp")), "active")
+        active = joined(active, links, "node")
+    links = rest(active, sets, percent)
+    if not links.isEmpty():
+        active = joined(active, links, "number")
 
     smallest = active.groupBy("comp").agg(F.min("id").alias("smallest"))
     grouped = attach(active.select("node", "comp"), smallest, ["comp"], ["node"]).select("node", "smallest")

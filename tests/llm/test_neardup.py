@@ -68,6 +68,23 @@ def test_large_group_of_copies(spark):
     assert {r.id: r.component_id for r in found} == want
 
 
+def family(seed, texts, pairs):
+    """Texts on one template, alike by 0.755, and for the first ones a partner each, alike by 0.804."""
+    rng = random.Random(seed)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template = [f"t{i}" for i in range(360)]
+    rows = [template + own(58) for _ in range(texts)]
+    rows += [row[:373] + own(45) for row in rows[:pairs]]
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_pairs_in_a_family_that_is_not_alike(spark):
+    rows = family(1, 500, 12)
+    want = components({i: shingles(t, 4) for i, t in rows})
+    assert len(set(want.values())) == 500
+    assert {r.id: r.component_id for r in N.linked(frame(spark, rows)).collect()} == want
+
+
 def test_empty(spark):
     docs = frame(spark, [(1, "a")])
     assert N.linked(docs.where("false")).count() == 0
