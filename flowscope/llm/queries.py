@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowscope.llm.common import table
+from flowscope.llm.common import let, table, words
 from flowscope.llm.twins import SQL  # noqa: F401  registered beside the queries
+from flowscope.session import scratch_path
 
 LANGUAGE_MARGIN = 0.005
 SHARDS = 8
@@ -14,11 +15,11 @@ QUALITY_THRESHOLD = -0.15
 PII_KEY = "example key: deployments bring their own"
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     """The installed file of the public vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def remainder(modulus: int) -> Column:
@@ -113,6 +114,59 @@ def op10_substring(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", digest)
 
 
+def op11_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    from flowscope.llm.sequences import read_documents, write_sequences
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    files = scratch_path(spark, "sequences")
+    manifest = write_sequences(docs, files, vocabulary_path("word_bpe_49k.json"))
+    return read_documents(spark, manifest, files, docs.schema["doc_id"].dataType.simpleString())
+
+
+def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    from flowscope.llm.negatives import hard_negatives
+
+    rows = table(spark, folder, "embeddings")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sevenths = F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False))
+    label = F.when(sevenths, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    rows = rows.where(finite).select("vec_id", label.alias("label"), vector.alias("vector"))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def planted_period(text: Column, h: Column) -> Column:
+    """The text with one period repeated from some word on, as the digest's contract makes it."""
+    g, n = F.floor(h / 10), lambda w: F.size(w).cast("bigint")
+
+    def repeated(w: Column) -> Column:
+        a = g % n(w)
+        p = F.floor((n(w) - a) / (g % 8 + 3)) + 1
+        return F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int"))))
+
+    changed = let(words(text), lambda w: F.when(F.size(w) > 0, F.array_join(repeated(w), " ")))
+    return F.when(h % 10 == 0, changed).otherwise(text)
+
+
+def op13_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    from flowscope.llm.runs import periodic
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, folder, "documents").select("doc_id", planted_period(F.col("text"), h).alias("text"))
+    found = periodic(docs)
+    longer = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(longer(b, r), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[F.col("best")[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_sharding": op2_sharding,
@@ -124,4 +178,7 @@ QUERIES = {
     "op8_neardup": op8_neardup,
     "op9_warc": op9_warc,
     "op10_substring": op10_substring,
+    "op11_sequences": op11_sequences,
+    "op12_negatives": op12_negatives,
+    "op13_periodic": op13_periodic,
 }
