@@ -6,12 +6,18 @@ hashes meets first among the full ones. ``ROWS`` bins form a band; documents wit
 
 Documents with equal sets are one node from the start, however many they are. In a bucket, edges go from one centre to
 the other members only (a star), so their number follows the members', not its square. Each edge is confirmed on the
-full sets, and confirmed edges join components. Two similar nodes can both be unlike the centre of a bucket; so
-further passes, up to ``PASSES`` or until one finds no link, form finer buckets of three bands at a time (others in each pass, with
-other centres) for what is still in several components. The passes only save work: at the end all pairs of nodes that
-share a bucket and are still in different components are compared on the full sets, but for pairs whose sizes alone
-rule out the similarity. So no candidate is left untested, and no bucket, star or component has a limit. At a
-similarity of 0.8 two documents miss each other in all 32 bands with a probability below 1e-7.
+full sets, and confirmed edges join components. Further passes, ``PASSES`` in all, do the same in finer buckets of
+three bands at a time (others in each pass, with other centres) for what is still in several components.
+
+Two similar nodes can both be unlike every centre they met, so the passes alone would lose links. The rest is exact:
+nodes that buckets with several components tie together form a family; a family's sets meet in one task, where shared
+shingles are counted through posting lists for every node outside the family's largest component. That tests all pairs of
+different components, in shared buckets or not; the task returns a spanning forest of the links it finds, never pairs.
+Small families are packed into tasks by bytes, and each of their sets travels once. A family that is too large for a task is
+dealt into blocks of bounded size, those of a large component apart from the others; two blocks that share a bucket
+meet in a task of their own unless both are of one component. So no candidate is left untested, and no bucket, star,
+family or component has a limit. At a similarity of 0.8 two documents miss each other in all 32 bands with a
+probability below 1e-7.
 
 Defined results: null, blank and empty texts have no set, are linked with nothing and form a component of their own;
 a text with fewer words than a shingle has one shingle of all its words; rows that repeat an id are all kept if it is
@@ -25,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.llm import tokens
@@ -34,14 +40,10 @@ from flowscope.operators.skew import BROADCAST_ROWS, attach, salted_join
 from flowscope.session import materialized
 
 BINS, ROWS = 128, 4
-PASSES = 12
+PASSES = 3
 SLICE_BYTES = 1_000_000
-#: Nodes are numbered 64 at a time: the number's last digit to this base is the size class of its set.
-CLASSES = 64
-#: Mean size of a block of sets of one size class, in bytes and in sets.
-BLOCK_BYTES, BLOCK_SETS = 8_000_000, 2_000
-#: Parts of a hot bucket when pairs are formed.
-BUCKET_PARTS = 8
+#: Mean size of the sets that meet in a task at the end, or of each of its two blocks, in bytes and in sets.
+BLOCK_BYTES, BLOCK_SETS = 4_000_000, 2_000
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +129,7 @@ def sketched(size: int):
 
 
 def set_rows(size: int):
-    """(node, text) to (node, hashes), for the texts that have the node's set."""
+    """(node, text, number) to (number, hashes), for the texts that have the node's set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -136,14 +138,14 @@ def set_rows(size: int):
                 some = np.flatnonzero(np.diff(begins))
                 edges = np.append(begins[some], len(hashes))
                 own = names(hashes, edges) if len(some) else []
-                wanted = batch.column(0).to_pylist()
+                wanted, numbers = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 found = [
-                    (name, hashes[a:b].tobytes())
+                    (numbers[i], hashes[a:b].tobytes())
                     for i, name, a, b in zip(some.tolist(), own, edges[:-1].tolist(), edges[1:].tolist(), strict=True)
                     if name == wanted[i]
                 ]
-                columns = [pa.array([n for n, _ in found], pa.binary()), pa.array([h for _, h in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "hashes"])
+                columns = [pa.array([n for n, _ in found], pa.int64()), pa.array([h for _, h in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["number", "hashes"])
 
     return rows
 
@@ -164,26 +166,27 @@ def similar(percent: int):
 
 
 def node_sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, hashes) of the wanted (node, id): the id is that of a row with the node's set."""
-    owners = wanted.select("node", F.col("id").alias("owner"))
+    """(number, hashes) of the wanted (number, node, id): the id is that of a row with the node's set."""
+    owners = wanted.select("number", "node", F.col("id").alias("owner"))
     small = F.broadcast(owners) if owners.count() <= BROADCAST_ROWS else owners
-    texts = rows.join(small, rows["id"].eqNullSafe(small["owner"])).select("node", "text")
-    return materialized(texts.mapInArrow(tokens.releasing(set_rows(size)), "node binary, hashes binary").dropDuplicates(["node"]), "sets")
+    texts = rows.join(small, rows["id"].eqNullSafe(small["owner"])).select("node", "text", "number")
+    found = texts.mapInArrow(tokens.releasing(set_rows(size)), "number bigint, hashes binary")
+    return materialized(found.dropDuplicates(["number"]), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of nodes (a, b) that are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b"))
+    """The pairs of numbers (a, b) whose sets are similar enough."""
+    left = sets.select(F.col("number").alias("a"), F.col("hashes").alias("of_a"))
+    right = sets.select(F.col("number").alias("b"), F.col("hashes").alias("of_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
-    return materialized(both.mapInArrow(similar(percent), "a binary, b binary"), "links")
+    return materialized(both.mapInArrow(similar(percent), "a bigint, b bigint"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, to): the least node that each node of the links reaches. Labels move to neighbours and then to their
     labels' labels, so long paths take logarithmically many rounds."""
     edges = materialized(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = materialized(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("to")), "labels")
+    labels = materialized(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("to")), "labels")
     while True:
         heard = edges.join(labels.select(F.col("node").alias("b"), "to"), "b").groupBy(F.col("a").alias("node")).agg(F.min("to").alias("heard"))
         nearer = labels.join(heard, "node").select("node", "to", F.least("to", "heard").alias("best"))
@@ -195,95 +198,147 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def bucketed(nodes: DataFrame, turn: int) -> DataFrame:
-    """(key, node, comp) of a pass: a bucket for each band, in later passes for each band with two others, which lie
+    """(key, number, comp) of a pass: a bucket for each band, in later passes for each band with two others, which lie
     ``turn`` and twice ``turn`` bands on."""
     bands = BINS // ROWS
-    rows = nodes.select("node", "comp", "bands", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("at"))
+    rows = nodes.select("number", "comp", "bands", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("at"))
     parts = [F.get("bands", (F.col("at") + k * turn) % bands) for k in range(3 if turn else 1)]
-    return rows.select(F.xxhash64(*parts).alias("key"), "node", "comp")
+    return rows.select(F.xxhash64(*parts).alias("key"), "number", "comp")
 
 
 def starred(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of nodes (a, b): in each bucket with several components, one node and those of other components."""
-    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.col("node"), F.col("comp")))
-    stars = members.groupBy("key").agg(first.alias("centre"), F.min("comp").alias("least"), F.max("comp").alias("most"))
-    stars = stars.where("least < most").select("key", F.col("centre.node").alias("centre"), F.col("centre.comp").alias("of_centre"))
-    met = members.join(stars, "key").where("comp <> of_centre")
-    return met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-
-
-def numbered(nodes: DataFrame) -> DataFrame:
-    """With a distinct number for each node, whose remainder by ``CLASSES`` says how many shingles it has: a class
-    goes up to 1.25 times its least, so that similar sets lie in a few neighbouring classes."""
-    step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(1.25)))
-    return nodes.withColumn("number", F.monotonically_increasing_id() * CLASSES + F.least(step, F.lit(CLASSES - 1)))
-
-
-def rivals(active: DataFrame, percent: int) -> DataFrame:
-    """All pairs of numbers (a, b) that share a bucket, lie in different components, and have sizes that allow the
-    similarity."""
-    rows = active.select("number", "comp", "n_shingles", F.posexplode("bands").alias("at", "band"))
-    members = rows.select(F.xxhash64("at", "band").alias("key"), "number", "comp", F.col("n_shingles").alias("n"))
-    split = members.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
-    members = materialized(members.join(split.select("key"), "key", "left_semi"), "members")
-    left, right = (members.select("key", F.col("number").alias(x), F.col("comp").alias(f"of_{x}"), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
-    both = salted_join(left, right, ["key"], ["a"], salts=BUCKET_PARTS)
-    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return materialized(both.where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & fits).select("a", "b").distinct(), "rivals")
-
-
-def compared(percent: int):
-    """The pairs (a, b) of two blocks that are similar enough, from all pairs and the sets (number, hashes) of both."""
-
-    def compare(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        place = {n: i for i, n in enumerate(sets["number"].to_pylist())}
-        hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets["hashes"]]
-        a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
-        cuts = np.flatnonzero(np.concatenate((np.ones(min(len(a), 1), bool), a[1:] != a[:-1], np.ones(1, bool))))
-        kept = np.zeros(len(a), bool)
-        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own = hashes[place[int(a[begin])]]
-            others = [hashes[place[n]] for n in b[begin:end].tolist()]
-            sizes = np.array([len(x) for x in others])
-            flat = np.concatenate(others)
-            at = np.searchsorted(own, flat)
-            same = own[np.minimum(at, len(own) - 1)] == flat
-            both = np.add.reduceat(same, np.cumsum(sizes) - sizes, dtype=np.int64)
-            kept[begin:end] = 100 * both >= percent * (len(own) + sizes - both)
-        return pa.table({"a": pa.array(a[kept], pa.int64()), "b": pa.array(b[kept], pa.int64())})
-
-    return compare
-
-
-def rest(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The similar pairs of numbers (a, b) among all ``rivals``. Sets lie in blocks; the pairs of two blocks are
-    compared in one place, so a set travels once for each block that its rivals lie in, not once for each rival."""
-    pairs = rivals(active, percent)
-    sizes = active.groupBy((F.col("number") % CLASSES).alias("class")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes"))
-    parts = [1] * CLASSES
-    for r in sizes.collect():  # CLASSES rows at most
-        parts[r["class"]] = 1 + max(8 * r.hashes // BLOCK_BYTES, r.n // BLOCK_SETS)
-
-    def block(number: Column) -> Column:
-        part = F.pmod(F.xxhash64(number), F.get(F.array(*map(F.lit, parts)), (number % CLASSES).cast("int")))
-        return part * CLASSES + number % CLASSES
-
-    one, two = block(F.col("a")), block(F.col("b"))
-    dealt = pairs.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y"), "a", "b")
-    wanted = dealt.select(F.col("x").alias("of_x"), F.col("y").alias("of_y"), F.explode(F.array("a", "b")).alias("number")).distinct()
-    wanted = wanted.join(active.select("number", "node"), "number").join(sets, "node").select("of_x", "of_y", "number", "hashes")
-    return materialized(dealt.groupBy("x", "y").cogroup(wanted.groupBy("of_x", "of_y")).applyInArrow(compared(percent), "a bigint, b bigint"), "rest")
-
-
-def joined(active: DataFrame, links: DataFrame, key: str) -> DataFrame:
-    """``active`` with the components that the links (a, b) between values of ``key`` join."""
-    of_a, of_b = (active.select(F.col(key).alias(x), F.col("comp").alias(f"of_{x}")) for x in ("a", "b"))
-    between = links.join(of_a, "a").join(of_b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-    moved = components(between).select(F.col("node").alias("comp"), "to")
+    """Pairs of numbers (a, b): in each bucket with several components, one node and those of other components."""
+    order = F.xxhash64("number", F.lit(turn))
+    stars = members.groupBy("key").agg(
+        F.min_by("number", order).alias("centre"), F.min_by("comp", order).alias("of_centre"), F.min("comp").alias("least"), F.max("comp").alias("most")
+    )
+    met = members.join(stars.where("least < most").select("key", "centre", "of_centre"), "key").where("comp <> of_centre")
+    return met.select(F.least("number", "centre").alias("a"), F.greatest("number", "centre").alias("b")).distinct()
+
+
+def tied(active: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, number) of the buckets that hold several components, and (number, family) of the nodes in them: a family
+    is what such buckets tie together."""
+    members = bucketed(active, 0)
+    split = members.groupBy("key").agg(F.min("number").alias("head"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+    members = materialized(members.join(split.where("least < most").select("key", "head"), "key"), "members")
+    ties = members.where("number <> head").select(F.col("head").alias("a"), F.col("number").alias("b")).distinct()
+    return members.select("key", "number"), components(ties).select(F.col("node").alias("number"), F.col("to").alias("family"))
+
+
+def blocked(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(task, side, number) of the (number, comp, family, n) of families that one task can't hold. Blocks of a component that
+    fills one are pure; two blocks meet in a task if they share a bucket, unless both are pure of one component."""
+    fills = (F.col("sets") > BLOCK_SETS) | (8 * F.col("hashes") > BLOCK_BYTES)
+    sums = [F.count("*").alias("sets"), F.sum("n").alias("hashes")]
+    pure = rows.groupBy("family", "comp").agg(*sums).where(fills).select("family", "comp", F.col("comp").alias("pure"))
+    dealt = rows.join(pure, ["family", "comp"], "left")
+    parts = dealt.groupBy("family", "pure").agg(*sums)
+    parts = parts.select(F.col("family").alias("of"), F.col("pure").alias("of_pure"), (1 + F.greatest(F.floor(8 * F.col("hashes") / BLOCK_BYTES), F.floor(F.col("sets") / BLOCK_SETS))).alias("parts"))
+    dealt = dealt.join(parts, (F.col("family") == F.col("of")) & F.col("pure").eqNullSafe(F.col("of_pure")))
+    block = F.xxhash64("family", "pure", F.pmod(F.xxhash64("number"), "parts"))
+    dealt = materialized(dealt.select("number", "pure", block.alias("block")), "blocks")
+    places = members.join(dealt, "number").select("key", "block", "pure").distinct()
+    x, y = places.select("key", F.col("block").alias("x"), F.col("pure").alias("of_x")), places.select("key", F.col("block").alias("y"), F.col("pure").alias("of_y"))
+    meet = (F.col("x") <= F.col("y")) & F.coalesce(F.col("of_x") != F.col("of_y"), F.lit(True))
+    tasks = x.join(y, "key").where(meet).select("x", "y").distinct()
+    sides = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("block"))))
+    sides = sides.otherwise(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("block")) for i, c in enumerate("xy")]))
+    tasks = tasks.select(F.xxhash64("x", "y").alias("task"), F.explode(sides).alias("of")).select("task", "of.side", "of.block")
+    return tasks.join(dealt.select("block", "number"), "block").select("task", "side", "number")
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def forest(comps: list[int], sides: np.ndarray, hashes: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between components by all similar pairs of nodes of different components, or of the two sides if there are two: no
+    more than a spanning forest."""
+    parent = {c: c for c in comps}
+
+    def find(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    links, sizes = [], np.array([len(x) for x in hashes])
+    two = sides.min() != sides.max()
+    if two:
+        asking, asked = np.flatnonzero(sides == 0), sides == 1
+    else:
+        names, counts = np.unique(comps, return_counts=True)
+        asking, asked = np.flatnonzero(np.array(comps) != names[counts.argmax()]), np.ones(len(comps), bool)
+    # posting lists of the asked sets
+    flat, owner = np.concatenate(hashes), np.repeat(np.arange(len(hashes)), sizes)
+    shingle, place = np.unique(flat, return_inverse=True)
+    of_asked = asked[owner]
+    posted = owner[of_asked][np.argsort(place[of_asked], kind="stable")]
+    counts = np.bincount(place[of_asked], minlength=len(shingle))
+    begins, ends = np.cumsum(counts) - counts, np.cumsum(sizes)
+    for i in asking.tolist():
+        own = place[ends[i] - sizes[i] : ends[i]]
+        both = np.bincount(posted[spread(begins[own], counts[own])], minlength=len(hashes))
+        for j in np.flatnonzero((100 * both >= percent * (sizes[i] + sizes - both)) & asked).tolist():
+            a, b = find(comps[i]), find(comps[j])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append((comps[i], comps[j]))
+    return links
+
+
+def meeting(percent: int):
+    """(task, side, family, comp, hashes) of a task to the links (a, b) between components, family by family."""
+
+    def meet(rows: pa.Table) -> pa.Table:
+        families = rows["family"].to_numpy()
+        order = np.argsort(families, kind="stable")
+        cuts = np.flatnonzero(np.diff(families[order])) + 1
+        comps, sides = rows["comp"].to_pylist(), rows["side"].to_numpy()
+        hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["hashes"]]
+        links = []
+        for part in np.split(order, cuts):
+            links += forest([comps[i] for i in part], sides[part], [hashes[i] for i in part], percent)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return meet
+
+
+def rest(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) between the components of each family, by comparing all sets of different ones; None if no bucket holds
+    several components."""
+    members, families = tied(active)
+    rows = materialized(active.select("number", "comp", F.col("n_shingles").alias("n")).join(families, "number"), "families")
+    sums = [F.count("*").alias("sets"), F.sum("n").alias("hashes")]
+    fits = (F.col("sets") <= BLOCK_SETS) & (8 * F.col("hashes") <= BLOCK_BYTES)
+    sizes = materialized(rows.groupBy("family").agg(*sums).withColumn("fits", fits), "sizes")
+    total = sizes.where("fits").agg(F.sum("sets").alias("sets"), F.sum("hashes").alias("hashes")).first()
+    if rows.isEmpty():
+        return None
+    tasks = 1 + max(8 * (total.hashes or 0) // BLOCK_BYTES, (total.sets or 0) // BLOCK_SETS)
+    rows = rows.join(sizes.select("family", "fits"), "family")
+    packed = rows.where("fits").select(F.pmod(F.xxhash64("family"), F.lit(tasks)).alias("task"), F.lit(0).alias("side"), "number")
+    if not sizes.where("not fits").isEmpty():
+        packed = packed.union(blocked(rows.where("not fits").select("number", "comp", "family", "n"), members))
+    met = packed.join(rows.select("number", "family", "comp"), "number").join(sets, "number")
+    found = met.select("task", "side", "family", "comp", "hashes").groupBy("task").applyInArrow(meeting(percent), "a bigint, b bigint")
+    return materialized(found, "rest")
+
+
+def joined(active: DataFrame, links: DataFrame) -> DataFrame:
+    """``active`` with the components that the links (a, b) between components join."""
+    moved = components(links).select(F.col("node").alias("comp"), "to")
     names_ = [c for c in active.columns if c != "comp"]
-    return materialized(attach(active, moved, ["comp"], ["node"]).select(*names_, F.coalesce("to", "comp").alias("comp")), "active")
+    return materialized(attach(active, moved, ["comp"], ["number"]).select(*names_, F.coalesce("to", "comp").alias("comp")), "active")
+
+
+def between(active: DataFrame, links: DataFrame) -> DataFrame:
+    """The links (a, b) between nodes as links between their components."""
+    of_a, of_b = (active.select(F.col("number").alias(x), F.col("comp").alias(f"of_{x}")) for x in ("a", "b"))
+    return links.join(of_a, "a").join(of_b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
 
 
 def linked(docs: DataFrame, size: int = 4, percent: int = 80, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -293,12 +348,13 @@ def linked(docs: DataFrame, size: int = 4, percent: int = 80, text: str = "text"
     sketch = f"id {kind}, text_hash bigint, n_shingles bigint, node binary, bands array<bigint>"
     sketches = materialized(rows.mapInArrow(tokens.releasing(sketched(size)), sketch), "sketches")
     full = sketches.where("node is not null")
-    nodes = materialized(full.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")), "nodes")
+    nodes = full.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"))
+    nodes = materialized(nodes.withColumn("number", F.monotonically_increasing_id()), "nodes")
     # the first pass goes over all nodes, the later ones over those that share a bucket with another
-    every = nodes.withColumn("comp", F.col("node"))
+    every = nodes.withColumn("comp", F.col("number"))
     pairs = materialized(starred(bucketed(every, 0), 0), "pairs")
-    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    active = materialized(numbered(every.join(met, "node", "left_semi")), "active")
+    met = pairs.select(F.col("a").alias("number")).union(pairs.select("b")).distinct()
+    active = materialized(every.join(met, "number", "left_semi"), "active")
     sets = node_sets(rows, active, size)
     tested = pairs
     for turn in range(PASSES):
@@ -306,18 +362,15 @@ def linked(docs: DataFrame, size: int = 4, percent: int = 80, text: str = "text"
             pairs = materialized(starred(bucketed(active, turn), turn).join(tested, ["a", "b"], "left_anti"), "pairs")
             tested = tested.union(pairs)
         links = confirmed(pairs, sets, percent)
-        if links.isEmpty():
-            if turn:
-                break
-            continue
-        active = joined(active, links, "node")
+        if not links.isEmpty():
+            active = joined(active, between(active, links))
     links = rest(active, sets, percent)
-    if not links.isEmpty():
-        active = joined(active, links, "number")
+    if links is not None and not links.isEmpty():
+        active = joined(active, links)
 
     smallest = active.groupBy("comp").agg(F.min("id").alias("smallest"))
-    grouped = attach(active.select("node", "comp"), smallest, ["comp"], ["node"]).select("node", "smallest")
-    parts = nodes.select("node", "id").join(grouped, "node", "left").select("node", F.coalesce("smallest", "id").alias("least"))
+    grouped = attach(active.select("number", "comp"), smallest, ["comp"], ["number"]).select("number", "smallest")
+    parts = nodes.select("node", "number", "id").join(grouped, "number", "left").select("node", F.coalesce("smallest", "id").alias("least"))
     parts = materialized(parts, "parts")
     narrow = sketches.select("id", "text_hash", "n_shingles", "node")
     out = salted_join(narrow, parts, ["node"], ["id"], "left", hot_source=full.select("node"))

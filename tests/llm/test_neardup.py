@@ -85,6 +85,36 @@ def test_pairs_in_a_family_that_is_not_alike(spark):
     assert {r.id: r.component_id for r in N.linked(frame(spark, rows)).collect()} == want
 
 
+@pytest.mark.parametrize("sets", [40, 7])
+def test_families_beyond_a_block(spark, monkeypatch, sets):
+    monkeypatch.setattr(N, "BLOCK_SETS", sets)
+    monkeypatch.setattr(N, "PASSES", 1)
+    rows = family(2, 150, 10) + [(1000 + i, t) for i, t in corpus(9)]
+    rng = random.Random(3)
+    base = [f"c{i}" for i in range(200)]  # a component that fills several blocks by itself
+    for i in range(90):
+        w = list(base)
+        w[rng.randrange(200)] = f"d{i}"
+        rows.append((3000 + i, " ".join(w)))
+    want = components({i: shingles(t, 4) for i, t in rows})
+    assert {r.id: r.component_id for r in N.linked(frame(spark, rows)).collect()} == want
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    near = list(base)
+    for _ in range(1500):
+        near[rng.randrange(len(near))] = "x"
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, "a b " * 100_000), (4, "y" * 1_000_000)]
+    assert {r.id: r.component_id for r in N.linked(frame(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_copies_without_distinct_ids(spark):
+    rows = [(None, "one two three four five six")] * 2000 + [(7, "one two three four five six")] * 2000
+    assert {(r.component_id, r.kept) for r in N.linked(frame(spark, rows)).collect()} == {(7, False), (7, True)}
+
+
 def test_empty(spark):
     docs = frame(spark, [(1, "a")])
     assert N.linked(docs.where("false")).count() == 0
@@ -94,7 +124,7 @@ def test_empty(spark):
 
 def test_components_of_a_path(spark):
     rng = random.Random(2)
-    names = [f"{i:05d}".encode() for i in rng.sample(range(10_000), 200)]
-    links = spark.createDataFrame(list(zip(names, names[1:], strict=False)), "a binary, b binary")
-    labels = {bytes(r.node): bytes(r.to) for r in N.components(links).collect()}
+    names = rng.sample(range(10_000), 200)
+    links = spark.createDataFrame(list(zip(names, names[1:], strict=False)), "a bigint, b bigint")
+    labels = {r.node: r.to for r in N.components(links).collect()}
     assert len(labels) == 200 and set(labels.values()) == {min(names)}
