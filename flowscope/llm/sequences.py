@@ -13,8 +13,10 @@ sequence i is row i % BATCH_ROWS of batch i // BATCH_ROWS. Files are not compres
 without a copy. Files of task attempts have new names, and only those in the written manifest are read, so a repeated
 or lost attempt harms nothing. Shards are numbered and summed in two levels; nothing is collected.
 
-A text is encoded by the tokenizers library in pieces between spaces and line ends, which the vocabulary's own rules
-never join (``word_pieces``); ids of pieces are kept, up to ``KEPT_PIECES``, which changes speed, not results.
+A text is encoded by the tokenizers library. If the vocabulary file has the rules of ``RULES``, this goes by pieces between
+spaces and line ends, which those rules never join; a piece of Latin letters, digits and signs is split into its
+pre-tokens here, which the library's model then encodes. Ids of recent pieces and pre-tokens are kept, which changes
+speed, not results. Other files and other pieces go through the whole library.
 
 Defined results: null and empty texts have the end id only; documents are ordered by id (nulls first), then by a hash
 of their text, so repeated rows lie side by side, and a repeated id may be split over shards; texts are processed whole, whatever
@@ -24,71 +26,127 @@ their length; an empty table gives an empty manifest; other columns are ignored,
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowscope.llm import tokens
+from flowscope.llm.bpe import byte_letters
 from flowscope.session import materialized
 
 LENGTH, BATCH_ROWS = 2048, 64
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 32_000_000
-#: Pieces whose ids a worker keeps, and the longest of them.
-KEPT_PIECES, KEPT_LENGTH = 300_000, 64
+#: Pieces, and pre-tokens, in a generation of those whose ids a worker keeps, and the longest of them.
+KEPT_PIECES, KEPT_UNITS, KEPT_LENGTH = 150_000, 300_000, 64
 #: Shards that are summed together in the first level of the running totals.
 TOGETHER = 1000
 
+#: The normal form and pre-tokens of the vocabulary file, the start of its added tokens, and the characters
+#: whose lower case and classes need no look at others.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+RULES = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": PRE_TOKENS}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
+ADDED = "<|"
+LATIN = re.compile("[!-~\xa1-\u024f]+")
+STOPS = ".,;:!?"
+UNITS = regex.compile(PRE_TOKENS)
+BYTES = {byte: letter for letter, byte in byte_letters().items()}
+
 MANIFEST = "shard int, name string, documents bigint, sequences bigint, tokens bigint"
 
 
 @functools.lru_cache(maxsize=1)
 def loaded(path: str):
-    """The vocabulary, once for all tasks of a worker."""
+    """The vocabulary, and whether its rules are those of ``RULES``, once for all tasks of a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     library.no_padding()
     library.no_truncation()
-    return library
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    plain = all(not (t["normalized"] or t["lstrip"] or t["rstrip"]) and t["content"].startswith(ADDED) for t in spec["added_tokens"])
+    return library, plain and [spec["normalizer"], spec["pre_tokenizer"]] == RULES
+
+
+class Recent(dict):
+    """What ``make`` gave for the latest keys: at most two generations of ``size`` of them."""
+
+    def __init__(self, make: Callable[[str], bytes], size: int) -> None:
+        super().__init__()
+        self.make, self.size, self.before = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= KEPT_LENGTH:
+            if len(self) >= self.size:
+                self.before = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 class Encoder:
     """Ids of texts as bytes, in a worker."""
 
     def __init__(self, path: str, end: int) -> None:
-        self.library = loaded(path)
+        self.library, self.by_word = loaded(path)
         self.kind = id_type(self.library.get_vocab_size(), end)
         self.end = np.array([end], self.kind).tobytes()
-        self.kept: dict[str, bytes] = {"": b""}
-
-    def coded(self, pieces: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(pieces, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
+        self.model = self.library.model
+        self.pieces, self.units = Recent(self.piece, KEPT_PIECES), Recent(self.unit, KEPT_UNITS)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def unit(self, unit: str) -> bytes:
+        letters = unit.encode().decode("latin-1").translate(BYTES)
+        return np.array([t.id for t in self.model.tokenize(letters)], self.kind).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        if not (piece.isprintable() if piece.isascii() else LATIN.fullmatch(piece)):
+            return self.whole(piece)
+        lower = piece.lower()
+        if not lower:
+            return b""
+        if lower.isalpha():
+            return self.units[lower]
+        if lower[-1] in STOPS and lower[:-1].isalpha():
+            return self.units[lower[:-1]] + self.units[lower[-1]]
+        return self.whole(piece) if ADDED in piece else b"".join(map(self.units.__getitem__, UNITS.findall(lower)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text and the end id, as little-endian integers."""
-        if len(self.kept) > KEPT_PIECES:
-            self.kept = {"": b""}
-        lists = [word_pieces(t) for t in texts]
-        new = list({p for pieces in lists for p in pieces if p not in self.kept})
-        long = {p: ids for p, ids in zip(new, self.coded(new), strict=True)} if new else {}
-        self.kept |= {p: ids for p, ids in long.items() if len(p) <= KEPT_LENGTH}
-        kept = self.kept if all(len(p) <= KEPT_LENGTH for p in long) else self.kept | long
-        return [b"".join([*map(kept.__getitem__, pieces), self.end]) for pieces in lists]
+        if not self.by_word:
+            return [self.whole(t) + self.end for t in texts]
+        return [b"".join([*map(self.pieces.__getitem__, word_pieces(t)), self.end]) for t in texts]
 
 
 def word_pieces(text: str) -> list[str]:
-    """Pieces that can be encoded apart: the vocabulary drops white space, no pre-token or added token holds any, and
+    """Pieces that can be encoded apart: the rules drop white space, no pre-token or added token holds any, and
     neither normal form nor lower case looks across a space or line end."""
     return text.replace("\n", " ").split(" ")
 

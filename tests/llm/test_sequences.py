@@ -28,13 +28,28 @@ def library(path):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(st.sampled_from(" \n\t\xa0　́aAÉΣσ1'é中!.<|>​\x85"), max_size=20) | st.text(max_size=20), max_size=4))
+@given(st.lists(st.text(st.sampled_from(" \n\t\xa0　́aAÉΣσİßªµ²1'é中!.<|>​\x85\xad"), max_size=20) | st.text(max_size=20), max_size=4))
 def test_pieces_give_the_ids_of_whole_texts(path, library, texts):
     encoder = S.Encoder(path, 1)
+    assert encoder.by_word
     for text, found in zip([*texts, *CASES], encoder([*texts, *CASES]), strict=True):
         assert np.frombuffer(found, "<u2").tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_other_vocabularies_and_forgetting(path, library, monkeypatch):
+    other = S.Encoder(public.path("byte_bpe_50k.json"), 1)
+    whole = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    assert not other.by_word
+    for text, found in zip(CASES, other(CASES), strict=True):
+        assert np.frombuffer(found, "<u2").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1]
+    monkeypatch.setattr(S, "KEPT_PIECES", 2)
+    monkeypatch.setattr(S, "KEPT_UNITS", 2)
+    small = S.Encoder(path, 1)
+    for _ in range(2):
+        for text, found in zip(CASES, small(CASES), strict=True):
+            assert np.frombuffer(found, "<u2").tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+
+
 def expected(library, rows):
     start, out = 0, []
     for ident, text in rows:
