@@ -1,32 +1,40 @@
-"""Autoencoders trained data-parallel: local mini-batch steps in every task, averaged between rounds.
+"""Autoencoders trained by synchronous data-parallel steps.
 
-Rows are placed on a fixed number of workers by a hash of their id, so a run repeats exactly whatever the
-cluster size. A round is one job: each task starts from the broadcast state, takes its mini-batch steps over
-the Arrow batches it streams, and returns its state; the executors average the states weighted by rows. What
-reaches the driver is one state, whose size depends on the layers only.
+Rows are numbered by a hash of their id; that order alone decides which rows form a mini-batch, so the weights do not
+depend on the number of workers. Every mini-batch is dealt out over all workers, and each writes its shares as an Arrow
+file whose i-th batch belongs to step i. Training is a barrier stage: in each step a worker reads its share from the
+file, takes its part of the gradient, and all workers gather and add the parts, so that all hold the same state. Memory
+holds one share and the state, however many rows or epochs there are. A job runs ``job_epochs`` epochs and returns the state,
+whose size depends on the layers only; a lost executor costs one job's epochs, since a barrier stage starts anew.
+
+One worker is used for every ``ROWS_PER_WORKER`` rows, up to the cores of the cluster: a step exchanges the gradient's
+bytes between all workers, which pays off only where the shares are large, so raise ``batch_size`` along with the data.
 """
 
 from __future__ import annotations
 
+import base64
+import contextlib
 import json
-import math
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow.fs as pafs
+from pyspark import BarrierTaskContext, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowscope.detectors.network import Adam, Layout
 from flowscope.operators import evaluate
 from flowscope.operators.columns import anomaly_flag
-from flowscope.operators.sampling import hash_cuts, row_hash, three_way_split, within
+from flowscope.operators.sampling import hash_rank, three_way_split
 from flowscope.operators.summary import fit_standard
 from flowscope.schema import LABEL
+from flowscope.session import materialized, scratch_path
 
 # --- fixed values: training settings ---------------------------------------------------------------
 HIDDEN = (300, 100, 2, 100, 300)
@@ -37,8 +45,9 @@ VALID_SHARE = 0.05
 ACTIVITY_L1 = 1e-6
 WEIGHT_SEED = 2
 # --- end of fixed values ---------------------------------------------------------------------------
-WORKERS = 8
-FAN_IN = 16
+ROWS_PER_WORKER = 20_000
+#: Epochs of one job, and so what a lost executor costs at most.
+JOB_EPOCHS = 50
 
 
 def bottleneck_layout(dim: int, hidden: Sequence[int] = HIDDEN) -> Layout:
@@ -99,7 +108,7 @@ class Autoencoder:
         return df.withColumn("_e", measure(self.inputs())).select(*df.columns, "_e.*")
 
     def loss_history(self, spark: SparkSession) -> DataFrame:
-        """``epoch, loss, val_loss``, one row per round."""
+        """``epoch, loss, val_loss``, one row per epoch."""
         return spark.createDataFrame(list(self.history), "epoch int, loss double, val_loss double")
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -123,77 +132,95 @@ class Autoencoder:
         return Autoencoder(layout, tuple(meta["features"]), np.array(row["weights"]), history)
 
 
-def _round(layout: Layout, shared, dim: int, batch_size: int, passes: int):
-    """The task of one round: validation error of the incoming state, then local steps on the training rows."""
-
-    def run(batches):
-        flat, first, second, steps = shared.value
-        state = Adam(flat, first, second, steps)
-        rows, loss, valid_rows, valid_loss = 0, 0.0, 0, 0.0
-
-        def train(x: np.ndarray) -> float:
+def _slicing(folder: str, dim: int, steps: int):
+    """Rows (held, step, x) of a worker, sorted, to its two files: (worker, shares, held). Batch i of ``shares`` is the share
+    of step i, empty ones included."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        schema = pa.schema([("x", pa.list_(pa.float64(), dim))])
+        names = [uuid.uuid4().hex, uuid.uuid4().hex]
+        with contextlib.ExitStack() as stack:
+            sinks = [stack.enter_context(store.open_output_stream(f"{base}/{n}")) for n in names]
+            shares, held = (stack.enter_context(pa.ipc.new_file(sink, schema)) for sink in sinks)
+
+            def put(file, x: np.ndarray) -> None:
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim)
+                file.write_batch(pa.RecordBatch.from_arrays([lists], schema=schema))
+
+            done, waiting = 0, np.zeros((0, dim))
+            for batch in batches:
+                x, at = matrix(batch, "x", dim), batch.column("step").to_numpy()
+                kept = batch.column("held").to_numpy(zero_copy_only=False)
+                if kept.any():
+                    put(held, x[kept])
+                x, at = x[~kept], at[~kept]
+                while len(at) and at[-1] > done:  # steps before the last one in sight are complete
+                    size = int(np.searchsorted(at, done, "right"))
+                    put(shares, np.concatenate((waiting, x[:size])))
+                    x, at, waiting, done = x[size:], at[size:], np.zeros((0, dim)), done + 1
+                waiting = np.concatenate((waiting, x))
+            for _ in range(done, steps):
+                put(shares, waiting)
+                waiting = np.zeros((0, dim))
+        yield pa.RecordBatch.from_pydict({"worker": pa.array([TaskContext.get().partitionId()], pa.int32()), "shares": names[:1], "held": names[1:]})
+
+    return write
+
+
+def _opened(folder: str, name: str) -> pa.ipc.RecordBatchFileReader:
+    store, base = pafs.FileSystem.from_uri(folder)
+    path = f"{base}/{name}"
+    return pa.ipc.open_file(pa.memory_map(path) if isinstance(store, pafs.LocalFileSystem) else store.open_input_file(path))
+
+
+def _epochs(layout: Layout, shared, folder: str, dim: int, workers: int, rows: int, batch_size: int, epochs: int):
+    """The barrier task of one job: ``epochs`` epochs from the shared state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        own = next(row for batch in batches for row in batch.to_pylist())
+        shares, held = _opened(folder, own["shares"]), _opened(folder, own["held"])
+        state = Adam(*shared.value)
+
+        def added(part: np.ndarray) -> np.ndarray:
+            if workers == 1:
+                return part
+            parts = context.allGather(base64.b64encode(part.tobytes()).decode())
+            return np.sum([np.frombuffer(base64.b64decode(p)) for p in parts], axis=0)
+
+        def share(file, i: int) -> np.ndarray:
+            return matrix(file.get_batch(i), "x", dim)
+
+        history = []
+        for _ in range(epochs):
             total = 0.0
-            for at in range(0, len(x), batch_size):
-                part = x[at : at + batch_size]
-                value, gradient = layout.loss_and_gradient(state.flat, part)
-                state.step(gradient)
-                total += value * len(part)
-            return total
-
-        kept = []
-        for batch in batches:
-            x = matrix(batch, "x", dim)
-            held = batch.column("held").to_numpy(zero_copy_only=False)
-            if held.any():
-                gap = layout.predict(flat, x[held]) - x[held]
-                valid_rows += int(held.sum())
-                valid_loss += float((gap * gap).mean(axis=1).sum())
-            x = x[~held]
-            rows += len(x)
-            if passes == 1:
-                loss += train(x)
-            else:
-                kept.append(x)
-        for _ in range(passes if kept else 0):
-            loss = sum(train(x) for x in kept)
-        if rows or valid_rows:
+            for step in range(shares.num_record_batches):
+                x, size = share(shares, step), min(batch_size, rows - step * batch_size)
+                part = np.zeros(layout.length() + 1)
+                if len(x):
+                    loss, gradient = layout.loss_and_gradient(state.flat, x)
+                    part[:-1], part[-1] = gradient * (len(x) / size), loss * len(x)
+                part = added(part)
+                state.step(part[:-1])
+                total += part[-1]
+            gaps = np.zeros(2)
+            for i in range(held.num_record_batches):
+                x = share(held, i)
+                gaps += len(x), float(((layout.predict(state.flat, x) - x) ** 2).mean(axis=1).sum())
+            gaps = added(gaps)
+            history.append((total / rows, gaps[1] / gaps[0] if gaps[0] else None))
+        if own["worker"] == 0:
             doubles = lambda v: pa.array([v], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "flat": doubles(state.flat),
-                    "first": doubles(state.first),
-                    "second": doubles(state.second),
-                    "steps": [state.steps],
-                    "n": [float(rows)],
-                    "loss": [loss],
-                    "valid_n": [float(valid_rows)],
-                    "valid_loss": [valid_loss],
-                }
-            )
+            states = {"flat": doubles(state.flat), "first": doubles(state.first), "second": doubles(state.second)}
+            losses = {"loss": doubles([h[0] for h in history]), "val_loss": doubles([h[1] for h in history])}
+            yield pa.RecordBatch.from_pydict({**states, "steps": [state.steps], **losses})
 
     return run
 
 
-ROUND_SCHEMA = (
-    "flat array<double>, first array<double>, second array<double>, steps long, "
-    "n double, loss double, valid_n double, valid_loss double"
-)
-
-
-def _average(parts: DataFrame, workers: int) -> Row:
-    """Row-weighted mean of the workers' states, in two steps so that no task adds up all of them."""
-    states = ["flat", "first", "second"]
-    vectors = parts.select(*[array_to_vector(c).alias(c) for c in states], "steps", "n", "loss", "valid_n", "valid_loss")
-
-    def merged(df: DataFrame, *keys) -> DataFrame:
-        means = [Summarizer.mean(F.col(c), F.col("n")).alias(c) for c in states]
-        sums = [F.sum(c).alias(c) for c in ("loss", "valid_n", "valid_loss")]
-        return df.groupBy(*keys).agg(*means, F.max("steps").alias("steps"), *sums, F.sum("n").alias("n"))
-
-    if workers > FAN_IN:
-        nest = F.pmod(F.spark_partition_id(), F.lit(math.isqrt(workers)))
-        vectors = merged(vectors.withColumn("nest", nest), "nest").drop("nest")
-    return merged(vectors).first()
+STATE_SCHEMA = "flat array<double>, first array<double>, second array<double>, steps long, loss array<double>, val_loss array<double>"
 
 
 def fit_autoencoder(
@@ -204,49 +231,46 @@ def fit_autoencoder(
     valid: DataFrame | None = None,
     epochs: int = EPOCHS,
     batch_size: int = BATCH,
-    passes: int = 1,
-    workers: int = WORKERS,
+    workers: int | None = None,
     seed: int = WEIGHT_SEED,
+    job_epochs: int = JOB_EPOCHS,
 ) -> Autoencoder:
     """Train on ``train``; ``valid`` rows, or the last 5% by hash order, only measure the loss.
 
-    ``passes`` epochs run locally between two averagings. One (the default) streams the rows; more keep a
-    worker's share in memory, so raise ``workers`` along with the data.
+    The weights are those of one process that takes the mini-batches one after the other, for any number of ``workers``
+    (up to rounding in the order of sums). ``workers`` may not exceed the cores of the cluster.
     """
     spark, dim = train.sparkSession, len(features)
     inputs = F.array(*[F.col(c).cast("double") for c in features])
-    if valid is None:
-        quota = lambda s: s.select("class", F.floor(F.col("n") * F.lit(1 - VALID_SHARE)).alias("want"))
-        held = ~within(hash_cuts(train, row_id, seed, quota), row_id, seed)
-        rows = train.select(row_hash(row_id, seed).alias("h"), inputs.alias("x"), held.alias("held"))
-    else:
-        side = lambda df, held: df.select(row_hash(row_id, seed).alias("h"), inputs.alias("x"), F.lit(held).alias("held"))
-        rows = side(train, False).unionByName(side(valid, True))
-    placed = rows.repartition(workers, "h").sortWithinPartitions("h").select("x", "held").persist()
+    ranked = lambda df: hash_rank(df.select(row_id, inputs.alias("x")), row_id, seed, name="at").select("at", "x")
+    n = train.count()
+    rows = n if valid is not None else int(n * (1 - VALID_SHARE))
+    if not rows:
+        raise ValueError("no rows to train on")
+    if workers is None:
+        workers = max(1, min(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_WORKER)))
+    dealt = ranked(train).withColumn("held", F.col("at") >= rows)
+    if valid is not None:
+        dealt = dealt.unionByName(ranked(valid).withColumn("held", F.lit(True)))
+    in_step, by_turn = F.floor((F.col("at") % batch_size) * workers / batch_size), F.col("at") % workers
+    worker = F.when(F.col("held"), by_turn).otherwise(in_step).cast("int")
+    placed = dealt.select("held", F.floor(F.col("at") / batch_size).alias("step"), "at", "x", worker.alias("worker"))
+    placed = placed.repartitionById(workers, "worker").sortWithinPartitions("held", "at").select("held", "step", "x")
+    folder = scratch_path(spark, "shares")
+    steps = -(-rows // batch_size)
+    slices = materialized(placed.mapInArrow(_slicing(folder, dim, steps), "worker int, shares string, held string"), "slices")
 
     flat = layout.initial(seed)
     state = (flat, np.zeros_like(flat), np.zeros_like(flat), 0)
     history: list[tuple[int, float, float | None]] = []
-    try:
-        for epoch in range(passes, epochs + 1, passes):
-            shared = spark.sparkContext.broadcast(state)
-            parts = placed.mapInArrow(_round(layout, shared, dim, batch_size, passes), ROUND_SCHEMA)
-            out = _average(parts, workers)
-            state = (out["flat"].toArray(), out["first"].toArray(), out["second"].toArray(), out["steps"])
-            shared.unpersist()
-            if history:
-                history[-1] = (*history[-1][:2], out["valid_loss"] / out["valid_n"] if out["valid_n"] else None)
-            history.append((epoch, out["loss"] / out["n"], None))
-        fitted = Autoencoder(layout, tuple(features), state[0], tuple(history))
-        last = _valid_loss(placed.where("held"), fitted)
-        return Autoencoder(layout, tuple(features), state[0], (*history[:-1], (*history[-1][:2], last)))
-    finally:
-        placed.unpersist()
-
-
-def _valid_loss(held: DataFrame, model: Autoencoder) -> float | None:
-    columns = [F.col("x")[i].alias(c) for i, c in enumerate(model.features)]
-    return model.errors(held.select(*columns)).agg(F.avg("loss_mse")).first()[0]
+    while len(history) < epochs:
+        shared = spark.sparkContext.broadcast(state)
+        task = _epochs(layout, shared, folder, dim, workers, rows, batch_size, min(job_epochs, epochs - len(history)))
+        out = slices.repartitionById(workers, "worker").mapInArrow(task, STATE_SCHEMA, barrier=True).collect()[0]
+        state = (np.array(out["flat"]), np.array(out["first"]), np.array(out["second"]), out["steps"])
+        shared.unpersist()
+        history += [(len(history) + i + 1, *losses) for i, losses in enumerate(zip(out["loss"], out["val_loss"]))]
+    return Autoencoder(layout, tuple(features), state[0], tuple(history))
 
 
 def autoencoder_scores(
@@ -290,8 +314,7 @@ def deep_autoencoder(
     label: str = LABEL,
     seed: int = 123,
     epochs: int = EPOCHS,
-    passes: int = 1,
-    workers: int = WORKERS,
+    **training,
 ) -> DeepReport:
     """Fit on the benign training rows, scaled on themselves, and judge the validation rows by squared error."""
     split = three_way_split(df, row_id, seed=seed)
@@ -307,8 +330,7 @@ def deep_autoencoder(
         valid.where(benign),
         epochs,
         DEEP_BATCH,
-        passes,
-        workers,
+        **training,
     )
     scored = model.errors(valid.select(row_id, label, *features)).select(row_id, label, "loss_mse")
     threshold = evaluate.mean_roc_threshold(scored, "loss_mse", label).first()[0]

@@ -143,8 +143,8 @@ def three_way_split(df: DataFrame, row_id: str, fraction: float = 0.2, seed: int
     return df.withColumn("split", split)
 
 
-def kfold(df: DataFrame, row_id: str, k: int, seed: int = 42, by: str | None = None, name: str = "fold") -> DataFrame:
-    """Fold ``rank mod k`` by hash order, within each class if ``by`` is given (stratified).
+def hash_rank(df: DataFrame, row_id: str, seed: int = 42, by: str | None = None, name: str = "rank") -> DataFrame:
+    """Add the dense 0-based rank by hash order, within each class if ``by`` is given.
 
     Ranks are taken per hash prefix and shifted by the sizes of the prefixes before it: at most 65,536 shift
     rows per class, and no task ranks more than a prefix.
@@ -154,15 +154,20 @@ def kfold(df: DataFrame, row_id: str, k: int, seed: int = 42, by: str | None = N
     before = Window.partitionBy(*keys[:-1]).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     sizes = hashed.groupBy(*keys).agg(F.count("*").alias("_n"))
     shifts = sizes.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))
     return (
-        hashed.withColumn("_rank", rank)
+        hashed.withColumn("_rank", number)
         .join(F.broadcast(shifts), keys)
-        .withColumn(name, ((F.col("_rank") - 1 + F.col("_shift")) % k).cast("int"))
+        .withColumn(name, (F.col("_rank") - 1 + F.col("_shift")).cast("bigint"))
         .drop("_h", "_prefix", "_rank", "_shift")
     )
 
 
+def kfold(df: DataFrame, row_id: str, k: int, seed: int = 42, by: str | None = None, name: str = "fold") -> DataFrame:
+    """Fold ``rank mod k`` by hash order, within each class if ``by`` is given (stratified)."""
+    return hash_rank(df, row_id, seed, by, "_place").withColumn(name, (F.col("_place") % k).cast("int")).drop("_place")
+
+
 def one_class_split(
     df: DataFrame, row_id: str, label: str, benign: int = 1, test_fraction: float = 0.2, seed: int = 1
 ) -> DataFrame:

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -74,21 +76,71 @@ def test_gradient_matches_differences():
         assert gradient[i] == pytest.approx((objective(flat + step) - objective(flat - step)) / 2e-6, abs=1e-6)
 
 
+def by_hash(df, seed=autoencoder.WEIGHT_SEED):
+    rows = df.toPandas()
+    order = rows["id"].map(lambda i: hashlib.md5(f"{seed}|{i}".encode()).hexdigest()).argsort()
+    return rows[NAMES].to_numpy()[order.to_numpy()]
+
+
+def one_process(x, held, layout, epochs, batch):
+    """The same training in one process: state and loss history."""
+    state, history = network.Adam(layout.initial(autoencoder.WEIGHT_SEED)), []
+    for _ in range(epochs):
+        total = 0.0
+        for at in range(0, len(x), batch):
+            loss, gradient = layout.loss_and_gradient(state.flat, x[at : at + batch])
+            state.step(gradient)
+            total += loss * len(x[at : at + batch])
+        history.append((total / len(x), float(((layout.predict(state.flat, held) - held) ** 2).mean())))
+    return state.flat, history
+
+
+@pytest.mark.parametrize("workers", [1, 3, 8])
+def test_synchronous_training_equals_one_process(spark, clusters, workers):
+    benign = clusters.where("malware_label = 0")
+    x, layout = by_hash(benign), autoencoder.bottleneck_layout(8, (16, 4, 16))
+    cut = int(len(x) * 0.95)
+    flat, history = one_process(x[:cut], x[cut:], layout, 5, 32)
+    model = autoencoder.fit_autoencoder(benign, NAMES, "id", layout, epochs=5, workers=workers, job_epochs=3)
+    assert np.abs(model.flat - flat).max() < 1e-6
+    assert [e for e, *_ in model.history] == [1, 2, 3, 4, 5]
+    assert np.allclose([h[1:] for h in model.history], history)
+
+
+def test_training_with_given_validation_rows(spark, clusters):
+    layout = autoencoder.deep_layout(8, 2)
+    train, valid = clusters.where("id % 4 > 0"), clusters.where("id % 4 = 0")
+    flat, history = one_process(by_hash(train), by_hash(valid), layout, 2, 128)
+    model = autoencoder.fit_autoencoder(train, NAMES, "id", layout, valid, epochs=2, batch_size=128, workers=2)
+    assert np.abs(model.flat - flat).max() < 1e-6 and np.allclose([h[1:] for h in model.history], history)
+
+
+def test_few_rows_for_many_workers(spark, clusters):
+    few = clusters.where("malware_label = 0").limit(5)
+    model = autoencoder.fit_autoencoder(few, NAMES, "id", autoencoder.bottleneck_layout(8, (4,)), epochs=2, workers=4)
+    assert len(model.history) == 2 and np.isfinite(model.flat).all()
+    with pytest.raises(ValueError):
+        autoencoder.fit_autoencoder(clusters.where("false"), NAMES, "id", autoencoder.bottleneck_layout(8, (4,)), epochs=1)
+
+
 def test_autoencoder_repeats_and_flags(spark, clusters):
     benign = clusters.where("malware_label = 0")
-    fit = lambda df: autoencoder.fit_autoencoder(
-        df, NAMES, "id", autoencoder.bottleneck_layout(8, (16, 4, 16)), epochs=40, passes=10, workers=2
-    )
+    fit = lambda df: autoencoder.fit_autoencoder(df, NAMES, "id", autoencoder.bottleneck_layout(8, (16, 4, 16)), epochs=40)
     model, again = fit(benign), fit(benign.repartition(7))
     assert np.allclose(model.flat, again.flat)
     losses = [r.loss for r in model.loss_history(spark).orderBy("epoch").collect()]
-    assert losses[-1] < losses[0] and len(losses) == 4
+    assert losses[-1] < losses[0] and len(losses) == 40
     assert all(r.val_loss is not None for r in model.loss_history(spark).collect())
     scored, _ = autoencoder.autoencoder_scores(clusters, NAMES, "id", model=model)
     assert roc_auc(scored, "loss_mae", "malware_label").first()[0] > 0.9
     path = scratch_path(spark, "ae")
     model.save(spark, path)
-    assert np.allclose(autoencoder.Autoencoder.load(spark, path).flat, model.flat)
+    loaded = autoencoder.Autoencoder.load(spark, path)
+    assert np.allclose(loaded.flat, model.flat)
+    again, _ = autoencoder.autoencoder_scores(clusters, NAMES, "id", model=loaded)
+    x = clusters.select(*NAMES).toPandas().to_numpy()
+    limit = 3 * abs(np.abs(model.layout.predict(model.flat, x)).mean() - np.abs(x).mean())
+    assert again.first().threshold == pytest.approx(limit) and again.count() == 400
     whole = model.reconstruct(clusters.where("id < 5")).select("predicted", F.array(*NAMES).alias("x")).toPandas()
     assert np.allclose(np.stack(whole["predicted"]), model.layout.predict(model.flat, np.stack(whole["x"])))
 
@@ -127,7 +179,7 @@ def test_gram(clusters):
 
 
 def test_deep_autoencoder_report(clusters):
-    report = autoencoder.deep_autoencoder(clusters, NAMES, "id", 2, epochs=40, passes=20, workers=2)
+    report = autoencoder.deep_autoencoder(clusters, NAMES, "id", 2, epochs=40, workers=2)
     assert report.scored.count() == 64 and report.auc.first()[0] > 0.9
     errors = {r.malware_label: r for r in report.errors.collect()}
     cells = {(r.label, r.prediction): r.n for r in report.confusion.collect()}
