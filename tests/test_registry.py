@@ -3,12 +3,16 @@
 import glob
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from flowscope.workload.registry import QUERIES
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no benchmark tables here")
 
@@ -45,6 +49,17 @@ def test_twin(spark, db, name):
     assert got == table(cursor.fetchall(), names)
 
 
+@pytest.mark.parametrize("blocked", ["regex", "zstandard", "public_tokenizers", "corpus_pipeline", "flowscope.llm", "flowscope.llm.queries"])
+def test_registry_without_a_module(blocked):
+    """What can't be imported takes only the corpus queries away."""
+    code = f"import sys; sys.modules['{blocked}'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout
+    others = [len(QUERIES), sum(q.sql is not None for q in QUERIES.values())]
+    assert all(a >= b for a, b in zip(map(int, out.split()), others, strict=True))
+    if blocked.startswith("flowscope"):
+        assert list(map(int, out.split())) == others
+
+
 def test_entry(spark):
     rows = entry(spark).collect()
     assert len(rows) == 2 and all(0 < r.blacklisted <= r.flows for r in rows)
