@@ -81,6 +81,15 @@ def svm_rbf(spark, sf):
     return scored.select(ID, LABEL, "prediction", F.round(kernel.decision_value(), 6).alias("decision"), probability)
 
 
+@MODELS.add("svm_calibration")
+def svm_calibration(spark, sf):
+    """How well the probabilities of the test rows fit their labels."""
+    data, names = dataset(spark, sf, share=40.0)
+    _, scored = train.train_svm(data, names, ID)
+    table = kernel.calibration_table(scored, LABEL)
+    return table.select("bin", "n", *[F.round(c, 6).alias(c) for c in ("probability", "share", "error")])
+
+
 @MODELS.add("svm_margin_grid")
 def svm_margin_grid(spark, sf):
     """Decision value and region label over the plane of the first two components."""
@@ -96,7 +105,7 @@ def svm_cross_validation(spark, sf):
     """Ten stratified folds over the held-out part, as the original protocol scores it."""
     data, names = dataset(spark, sf, share=40.0)
     held = train.train_test_split(data, ID).where("split = 'test'").drop("split")
-    fit = lambda part: kernel.fit_svm(part, names, LABEL, components=128, probability=False, max_iter=30)
+    fit = lambda part: kernel.fit_svm(part, names, LABEL, probability=False)
     return train.cross_validate(held, ID, fit, train.SVM_FOLDS, LABEL)
 
 
@@ -119,6 +128,25 @@ def one_class_svm(spark, sf):
     return scored.select(ID, LABEL, "prediction", F.round("decision", 6).alias("decision"))
 
 
+@MODELS.add("one_class_certificate")
+def one_class_certificate(spark, sf):
+    """Shares of training rows outside and with a weight, on both sides of nu, and the duality gap."""
+    data, names = dataset(spark, sf, one_class=True)
+    model, _ = train.train_one_class(data, names, ID, 20.0)
+    return kernel.one_class_certificate(spark, model, kernel.one_class_nu(20.0))
+
+
+@MODELS.add("one_class_saved")
+def one_class_saved(spark, sf):
+    """Fit, save, load, and score all rows with the loaded model."""
+    data, names = dataset(spark, sf, one_class=True)
+    model, _ = train.train_one_class(data, names, ID, 20.0)
+    path = scratch_path(spark, "one_class")
+    save_model(model, path)
+    scored = load_model(spark, path).transform(data)
+    return scored.select(ID, LABEL, "prediction", F.round("decision", 6).alias("decision"))
+
+
 @MODELS.add("one_class_scores")
 def one_class_scores(spark, sf):
     """Scores for the benign class, the positive one by default here."""

@@ -25,12 +25,55 @@ def clusters(spark):
     return df.select("id", F.col("malware_label").cast("int").alias("malware_label"), *NAMES).repartition(3).cache()
 
 
-def test_fourier_features_approximate_the_kernel():
+def test_landmark_features_give_the_kernel():
     rng = np.random.default_rng(0)
     x = rng.random((40, 8))
-    z = kernel.fourier_map(x, kernel.fourier_basis(8, 4096, 0.1, 42))
-    exact = np.exp(-0.1 * ((x[:, None] - x) ** 2).sum(axis=2))
-    assert np.abs(z @ z.T - exact).max() < 0.08
+    z = kernel.Basis(x, 0.1)(x)
+    assert np.abs(z @ z.T - kernel.gaussian(x, x, 0.1)).max() < 1e-7
+
+
+def test_landmarks(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate((np.repeat(rng.random((1, 5)), 900, axis=0), rng.normal(0, 0.01, (95, 5)), 5 + rng.random((5, 5))))
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>")
+    once, again = (kernel.choose_landmarks(part, 16, 0.5, 7) for part in (df, df.repartition(5)))
+    assert np.array_equal(once, again) and len(np.unique(once, axis=0)) == 16
+    assert (once > 4).all(axis=1).sum() >= 3  # of 5 in 101 distinct rows: few others stand for them
+    assert len(kernel.choose_landmarks(df.where("x[0] > 4"), 16, 0.5, 7)) == 5
+
+
+def exact_svm(x, y, c, gamma, steps=200_000):
+    """Margins of the dual with offset, by pair steps on the whole kernel matrix."""
+    k, alpha = kernel.gaussian(x, x, gamma), np.zeros(len(x))
+    gradient = -np.ones(len(x))
+    for _ in range(steps):
+        up = ((y > 0) & (alpha < c - 1e-9)) | ((y < 0) & (alpha > 1e-9))
+        down = ((y < 0) & (alpha < c - 1e-9)) | ((y > 0) & (alpha > 1e-9))
+        violation = -y * gradient
+        i, j = np.where(up, violation, -np.inf).argmax(), np.where(down, violation, np.inf).argmin()
+        if violation[i] - violation[j] < 1e-5:
+            break
+        step = (violation[i] - violation[j]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12)
+        step = min(step, c - alpha[i] if y[i] > 0 else alpha[i], alpha[j] if y[j] > 0 else c - alpha[j])
+        alpha[i] += y[i] * step
+        alpha[j] -= y[j] * step
+        gradient += y * step * (k[i] - k[j])
+    return k @ (alpha * y) + (violation[i] + violation[j]) / 2
+
+
+def test_svm_margins_equal_the_exact_ones(spark):
+    rng = np.random.default_rng(5)
+    label = (rng.random(300) < 0.4).astype(int)
+    x = rng.normal(0.45, 0.15, (300, 8)) + 0.1 * label[:, None]
+    rows = [(i, int(label[i]), *map(float, x[i])) for i in range(300)]
+    df = spark.createDataFrame(rows, ["id", "malware_label", *NAMES])
+    model = kernel.fit_svm(df, NAMES)
+    got = model.transform(df).select("id", kernel.decision_value().alias("d")).toPandas().sort_values("id")["d"].to_numpy()
+    want = exact_svm(x, 2.0 * label - 1, kernel.SVM_C, kernel.GAMMA)
+    assert np.corrcoef(got, want)[0, 1] > 0.99
+    table = kernel.calibration_table(model.transform(df)).collect()
+    assert sum(r.n for r in table) == 300 and 0 <= table[0].error < 0.2
+    assert table[0].error == pytest.approx(sum(r.n * abs(r.probability - r.share) for r in table) / 300)
 
 
 def test_svm_separates_and_survives_saving(spark, clusters):
@@ -41,23 +84,57 @@ def test_svm_separates_and_survives_saving(spark, clusters):
     assert ((probability.p.between(0, 1)).all()) and probability.corr(method="spearman").iloc[0, 1] > 0.99
     path = scratch_path(spark, "svm")
     save_model(model, path)
-    again = load_model(spark, path).transform(scored.drop("features", "fourier", "rawPrediction", "prediction", "calibration", "probability", "calibrated"))
+    again = load_model(spark, path).transform(scored.drop("features", "kernel", "rawPrediction", "prediction", "calibration", "probability", "calibrated"))
     pairs = scored.select("id", kernel.decision_value().alias("a")).join(again.select("id", kernel.decision_value().alias("b")), "id")
     assert pairs.where(F.abs(F.col("a") - F.col("b")) > 1e-9).count() == 0
     with pytest.raises(FileNotFoundError):
         load_model(spark, scratch_path(spark, "nothing"))
 
 
+def exact_one_class(x, nu, gamma, steps=200_000):
+    """Scores and square of the shortest mean, on the whole kernel matrix."""
+    k, n = kernel.gaussian(x, x, gamma), len(x)
+    alpha, bound = np.full(n, 1 / n), 1 / (nu * n)
+    scores = k @ alpha
+    for _ in range(steps):
+        i = np.where(alpha < bound - 1e-12, scores, np.inf).argmin()
+        j = np.where(alpha > 1e-12, scores, -np.inf).argmax()
+        if scores[j] - scores[i] < 1e-9:
+            break
+        step = min((scores[j] - scores[i]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12), bound - alpha[i], alpha[j])
+        alpha[i], alpha[j], scores = alpha[i] + step, alpha[j] - step, scores + step * (k[i] - k[j])
+    return scores, alpha @ scores
+
+
+@pytest.mark.parametrize("rows_per_task", [5000, 60])
+def test_one_class_reaches_the_optimum(spark, clusters, rows_per_task):
+    benign = clusters.where("malware_label = 0").orderBy("id")
+    x, nu = benign.select(*NAMES).toPandas().to_numpy(), 0.1
+    scores, square = exact_one_class(x, nu, kernel.GAMMA)
+    model = kernel.fit_one_class(benign, NAMES, nu, components=len(x), tolerance=1e-3, rows_per_task=rows_per_task)
+    fit = kernel.one_class_certificate(spark, model, nu).first()
+    assert fit.outside <= nu <= fit.support and fit.gap <= 1e-3
+    weights = np.array(model.stages[-1].getOrDefault("weights"))
+    assert square <= weights @ weights * (1 + 1e-6) and weights @ weights <= square * (1 + fit.gap)
+    got = model.transform(benign).select("decision").toPandas()["decision"].to_numpy()
+    assert np.corrcoef(got, scores)[0, 1] > 0.99
+
+
+def test_one_class_with_copies(spark, clusters):
+    rows = clusters.where("malware_label = 0").limit(40)
+    many = rows.unionByName(rows.limit(1).crossJoin(spark.range(300).select()))
+    fit = kernel.one_class_certificate(spark, kernel.fit_one_class(many, NAMES, 0.05, rows_per_task=100), 0.05).first()
+    assert fit.outside <= 0.05 <= fit.support
+
+
 def test_one_class(spark, clusters):
     coded = clusters.withColumn("malware_label", F.when(F.col("malware_label") == 0, 1).otherwise(-1))
-    model, scored = train.train_one_class(coded, NAMES, "id", 20.0, components=128, iterations=15)
+    model, scored = train.train_one_class(coded, NAMES, "id", 20.0, components=128)
     assert roc_auc(scored, "decision", "malware_label").first()[0] > 0.95
-    split = train.one_class_split(coded, "id", "malware_label").where("split = 'train'")
-    outside = model.transform(split).where("prediction = -1").count() / split.count()
-    assert outside == pytest.approx(kernel.one_class_nu(20.0), abs=0.03)
     path = scratch_path(spark, "one-class")
     save_model(model, path)
-    assert load_model(spark, path).transform(scored.select("id", *NAMES)).count() == scored.count()
+    again = load_model(spark, path).transform(scored.select("id", *NAMES)).select("id", F.col("decision").alias("b"))
+    assert scored.join(again, "id").where(F.abs(F.col("decision") - F.col("b")) > 1e-9).count() == 0
 
 
 def test_gradient_matches_differences():
