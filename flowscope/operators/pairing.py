@@ -24,11 +24,13 @@ def reversed_servers(servers: DataFrame) -> DataFrame:
 
 
 def first_servers(servers: DataFrame, server_id: str) -> DataFrame:
-    """The first server record in file order for each 4-tuple; combined map-side, so a hot tuple is cheap."""
-    turned = reversed_servers(servers)
-    rest = [c for c in turned.columns if c not in ENDPOINT_KEYS]
-    first = F.min_by(F.struct(*rest), F.col(SERVER_PREFIX + server_id)).alias("first")
-    return turned.groupBy(*ENDPOINT_KEYS).agg(first).select(*ENDPOINT_KEYS, "first.*")
+    """The first server record in file order for each 4-tuple.
+
+    Only ids are aggregated, combined map-side; the records are fetched by tuple and id, which spreads a hot tuple.
+    """
+    turned, ident = reversed_servers(servers), SERVER_PREFIX + server_id
+    first = turned.groupBy(*ENDPOINT_KEYS).agg(F.min(ident).alias(ident))
+    return turned.join(first, [*ENDPOINT_KEYS, ident], "left_semi")
 
 
 def pair_first_match(

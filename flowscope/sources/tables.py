@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowscope import schema as S
+from flowscope.sources.batches import append_once, read_batches
 
 
 def write_features(features: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
@@ -20,6 +21,17 @@ def read_features(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return reader.csv(path, header=True, enforceSchema=False) if fmt == "csv" else reader.format(fmt).load(path)
 
 
+def append_features(features: DataFrame, path: str, batch: str, fmt: str = "parquet") -> bool:
+    """Append a batch exactly once, however often its job is run; False if it was there already."""
+    options = {"header": True} if fmt == "csv" else {}
+    return append_once(features.select(*S.FEATURE_COLUMNS), path, batch, fmt, **options)
+
+
+def read_feature_batches(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    options = {"header": True, "enforceSchema": False} if fmt == "csv" else {}
+    return read_batches(spark, path, S.FEATURE_TABLE, fmt, **options)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
     options = {"header": True} if fmt == "csv" else {}
     df.write.mode(mode).options(**options).format(fmt).save(path)

@@ -15,8 +15,8 @@ from flowscope.functions import codes, documents, net, temporal
 from flowscope.operators import columns, encode, enrich, pairing
 from flowscope.operators.profile import class_measures
 from flowscope.operators.summary import summarize_vector
-from flowscope.plans import extract
-from flowscope.session import scratch_path
+from flowscope.plans import extract, incremental
+from flowscope.session import materialized, scratch_path
 from flowscope.sources import hello, intel, tables
 from flowscope.workload import fixtures as fx
 from flowscope.workload.fixtures import Registry, table, view, with_views
@@ -63,6 +63,24 @@ def server_hello_csv(spark, sf):
     return hello.read_server_hello(spark, path, with_id=False)
 
 
+@FLOWS.add("pair_file_order", WITH_PAIRED + f" SELECT {KEYS}, MessageLen, srv_CipherSuite, srv_OCSPStapling, srv_Extensions FROM paired")
+def pair_file_order(spark, sf):
+    """Client and server records in many files, half of them with another header: the first server is the first in file order."""
+    path = scratch_path(spark, "captures")
+    middle = table(spark, sf, "events").agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+
+    def files(records, fields, name):
+        ordered = records.orderBy("flow_id")
+        for part, rows, columns in (("a", F.col("flow_id") <= middle, fields), ("b", F.col("flow_id") > middle, ["extra", *reversed(fields)])):
+            tables.write_table(ordered.where(rows).withColumn("extra", F.lit("x")).select(*columns), f"{path}/{name}/{part}", "csv")
+        return [f"{path}/{name}/{part}" for part in "ab"]
+
+    client_files = files(clients(spark, sf), S.CLIENT_HELLO.fieldNames(), "clients")
+    server_files = files(servers(spark, sf), S.SERVER_HELLO.fieldNames(), "servers")
+    pairs = pairing.pair_first_match(hello.read_client_hello(spark, client_files), hello.read_server_hello(spark, server_files))
+    return pairs.select(*S.ENDPOINT_KEYS, "MessageLen", "srv_CipherSuite", "srv_OCSPStapling", "srv_Extensions")
+
+
 @FLOWS.add("blacklist_csv", with_views("blacklist") + " SELECT * FROM blacklist")
 def blacklist_csv(spark, sf):
     """A headerless file whose comment lines are skipped."""
@@ -123,17 +141,22 @@ FEATURE_FILE_SQL = WITH_PAIRED + """ SELECT malware_label, count(*) AS n, sum(CA
   sum(CAST(srv_SupportedVersion AS DOUBLE)) AS svr_supported_ver FROM paired GROUP BY malware_label"""
 
 
+def _class_sums(features):
+    sums = [F.sum(c).alias(c) for c in ("message_len", "svr_supported_ver")]
+    return features.groupBy("malware_label").agg(F.count("*").alias("n"), *sums)
+
+
+def _weighed(spark, sf):
+    """Paired flows with their weights, written once: each class is a job of its own."""
+    return materialized(encode.with_scalars(encode.weigh_codes(paired(spark, sf)), F.col("malware_label")), "weighed")
+
+
 def _feature_file(spark, sf, fmt):
     """Append each class as its own job, then read all of it back."""
-    path = scratch_path(spark, "features")
-    weighed = encode.with_scalars(encode.weigh_codes(paired(spark, sf)), F.col("malware_label"))
+    path, weighed = scratch_path(spark, "features"), _weighed(spark, sf)
     for value in (0, 1):
         tables.write_features(encode.encode_wide(weighed.where(F.col("malware_label") == value)), path, fmt)
-    return (
-        tables.read_features(spark, path, fmt)
-        .groupBy("malware_label")
-        .agg(F.count("*").alias("n"), F.sum("message_len").alias("message_len"), F.sum("svr_supported_ver").alias("svr_supported_ver"))
-    )
+    return _class_sums(tables.read_features(spark, path, fmt))
 
 
 # --- functions -------------------------------------------------------------------------------------
@@ -426,11 +449,16 @@ def dga_model(spark, sf):
     return scored.select("page_id", vector_to_array("probability")[1].alias("prob"))
 
 
-@FLOWS.add(
-    "enrich_distinct",
+ENRICH_SQL = (
     with_views("client_hello", "otx_raw", "urlhaus_raw", "popularity", "dga")
     + f", {OTX_SQL}, {URLHAUS_SQL}, {POPULARITY_SQL}, {DGA_SQL} SELECT flow_id, otx_status, otx_age, urlhaus_status, urlhaus_age, "
-    f"round(dom_in_tranco_1m, 6) AS dom_in_tranco_1m, round(dom_dga_prob, 6) AS dom_dga_prob FROM {OSINT_HITS}",
+    f"round(dom_in_tranco_1m, 6) AS dom_in_tranco_1m, round(dom_dga_prob, 6) AS dom_dga_prob FROM {OSINT_HITS}"
+)
+
+
+@FLOWS.add(
+    "enrich_distinct",
+    ENRICH_SQL,
 )
 def enrich_distinct(spark, sf):
     flows = clients(spark, sf).select("flow_id", "DstIP", "SNI")
@@ -442,6 +470,20 @@ def enrich_distinct(spark, sf):
     )
 
 
+@FLOWS.add("enrich_batches", ENRICH_SQL)
+def enrich_batches(spark, sf):
+    """Two batches of flows, the first of them run twice: each endpoint is looked up once for all."""
+    flows = clients(spark, sf).select("flow_id", "DstIP", "SNI")
+    middle = flows.agg(F.expr("percentile_approx(flow_id, 0.5)")).first()[0]
+    parts = {"one": flows.where(F.col("flow_id") <= middle), "two": flows.where(F.col("flow_id") > middle)}
+    i, folder = fx.intelligence(spark, sf), scratch_path(spark, "answers")
+    done = {name: incremental.enrich_batch(parts[name], i, folder, "2024-01-31", name) for name in ("one", "one", "two")}
+    return done["one"].unionByName(done["two"]).select(
+        "flow_id", "otx_status", "otx_age", "urlhaus_status", "urlhaus_age",
+        F.round("dom_in_tranco_1m", 6).alias("dom_in_tranco_1m"), F.round("dom_dga_prob", 6).alias("dom_dga_prob"),
+    )
+
+
 # --- code weights ----------------------------------------------------------------------------------
 def _known(ranges) -> str:
     return "(" + " OR ".join(f"code BETWEEN {low} AND {high}" for low, high in ranges) + ")"
@@ -541,6 +583,15 @@ def feature_file_parquet(spark, sf):
     return _feature_file(spark, sf, "parquet")
 
 
+@FLOWS.add("feature_file_batches", FEATURE_FILE_SQL)
+def feature_file_batches(spark, sf):
+    """One batch per class; the first is run again after it finished, which adds nothing."""
+    path, weighed = scratch_path(spark, "features"), _weighed(spark, sf)
+    for value in (0, 1, 0):
+        tables.append_features(encode.encode_wide(weighed.where(F.col("malware_label") == value)), path, f"class {value}")
+    return _class_sums(tables.read_feature_batches(spark, path))
+
+
 @FLOWS.add("feature_file_csv", FEATURE_FILE_SQL)
 def feature_file_csv(spark, sf):
     return _feature_file(spark, sf, "csv")
