@@ -18,6 +18,7 @@ from flowscope.operators.summary import summarize_vector
 from flowscope.plans import extract, incremental
 from flowscope.session import materialized, scratch_path
 from flowscope.sources import hello, intel, tables
+from flowscope.streaming import pairing as streaming
 from flowscope.workload import fixtures as fx
 from flowscope.workload.fixtures import Registry, table, view, with_views
 
@@ -364,6 +365,58 @@ def unpaired_clients(spark, sf):
     return pairing.unpaired_clients(clients(spark, sf), servers(spark, sf)).select("flow_id", "SrcIP", "DstIP")
 
 
+TIMED = "SELECT e.*, ts FROM ({view}) e JOIN events v ON v.event_id = e.flow_id"
+DAYS = f"""{with_views("client_hello", "server_hello")}, c AS ({TIMED.format(view="SELECT * FROM client_hello")}), s AS ({TIMED.format(view="SELECT * FROM server_hello")})"""
+
+
+def _capture_streams(spark, sf, path, closed):
+    """Client and server records with their times as streams of two halves, and records weeks later that close the last day."""
+    streams, events = [], table(spark, sf, "events")
+    middle, last = events.agg(F.expr("percentile_approx(event_id, 0.5)"), F.max("ts").cast("timestamp")).first()
+    for name in ("client_hello", "server_hello"):
+        times = events.select(F.col("event_id").alias("flow_id"), F.col("ts").cast("timestamp").alias("ts"))
+        rows = materialized(view(spark, sf, name).join(times, "flow_id"), name)
+        parts = [rows.where(F.col("flow_id") <= middle), rows.where(F.col("flow_id") > middle)]
+        for weeks in (1, 2) if closed else ():
+            late = {"ts": F.lit(last + dt.timedelta(weeks=weeks)), "SrcIP": F.lit("closing"), "DstIP": F.lit(name)}
+            parts.append(rows.limit(1).withColumns(late))
+        for part in parts:
+            part.repartition(1).write.mode("append").parquet(f"{path}/{name}")
+        streams.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/{name}"))
+    return streams
+
+
+@FLOWS.add(
+    "pair_first_stream",
+    DAYS
+    + f""", f AS (SELECT *, row_number() OVER (PARTITION BY {KEYS}, date_trunc('day', ts) ORDER BY flow_id) AS rn FROM s)
+  SELECT c.flow_id, {", ".join(f"c.{k}" for k in S.ENDPOINT_KEYS)}, s.flow_id AS srv_flow_id FROM c JOIN f AS s ON {MATCH}
+    AND date_trunc('day', c.ts) = date_trunc('day', s.ts) AND s.rn = 1""",
+)
+def pair_first_stream(spark, sf):
+    """Each client with the first server of its 4-tuple and day, from two streams."""
+    path = scratch_path(spark, "streams")
+    found = streaming.first_match(*_capture_streams(spark, sf, path, closed=True))
+    streaming.run_available(found.select("flow_id", *S.ENDPOINT_KEYS, "srv_flow_id"), f"{path}/progress", f"{path}/pairs")
+    return spark.read.parquet(f"{path}/pairs")
+
+
+@FLOWS.add(
+    "pair_one_to_one_stream",
+    with_views("client_hello", "server_hello")
+    + f""", c AS (SELECT flow_id, {KEYS}, row_number() OVER (PARTITION BY {KEYS} ORDER BY flow_id) AS pair_rank FROM client_hello),
+      s AS (SELECT flow_id, {KEYS}, row_number() OVER (PARTITION BY {KEYS} ORDER BY flow_id) AS pair_rank FROM server_hello)
+      SELECT c.flow_id, s.flow_id AS srv_flow_id, c.pair_rank FROM c JOIN s ON {MATCH} AND c.pair_rank = s.pair_rank""",
+)
+def pair_one_to_one_stream(spark, sf):
+    """The k-th client with the k-th server, from two streams that arrive file by file."""
+    path = scratch_path(spark, "streams")
+    client_stream, server_stream = _capture_streams(spark, sf, path, closed=False)
+    work, pairs = streaming.one_to_one(spark, f"{path}/state", client_stream.schema, server_stream.schema)
+    streaming.run_available(streaming.sides(client_stream, server_stream), f"{path}/progress", work)
+    return pairs().select("flow_id", "srv_flow_id", "pair_rank")
+
+
 # --- enrichment ------------------------------------------------------------------------------------
 JA3_SQL = """ja3_first AS (SELECT ja3, min(first_seen) AS first_seen, min(last_seen) AS last_seen FROM blacklist GROUP BY ja3),
   ja3_hit AS (SELECT c.flow_id, CASE WHEN b.ja3 IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS ja3_urlhaus_status,
