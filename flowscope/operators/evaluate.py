@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowscope.operators.ordered import BUCKET, range_buckets
+from flowscope.operators.ordered import BUCKET, earlier, range_buckets
 from flowscope.schema import LABEL
 
 
@@ -128,18 +128,11 @@ def _sweep(df: DataFrame, score: str, label: str, positive: int, buckets: int |
         F.max_by("pos", "threshold").alias("top_pos"),
         F.max_by("neg", "threshold").alias("top_neg"),
     )
-    order = Window.orderBy(F.desc(BUCKET))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    shifts = ranges.select(
-        BUCKET,
-        F.coalesce(F.sum("p").over(before), F.lit(0)).alias("tp_before"),
-        F.coalesce(F.sum("q").over(before), F.lit(0)).alias("fp_before"),
-        F.lead("top_pos").over(order).alias("next_top_pos"),
-        F.lead("top_neg").over(order).alias("next_top_neg"),
-        F.sum("p").over(everything).alias("positives"),
-        F.sum("q").over(everything).alias("negatives"),
+    shifts = earlier(
+        ranges, {"tp_before": "p", "fp_before": "q"}, {"next_top_pos": "top_pos", "next_top_neg": "top_neg"}, descending=True
     )
+    whole = ranges.agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
+    shifts = shifts.withColumns({c: whole.select(c).scalar() for c in whole.columns})
     return own.join(F.broadcast(shifts), BUCKET).select(
         "threshold",
         "pos",

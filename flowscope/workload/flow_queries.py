@@ -11,8 +11,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowscope import schema as S
+from flowscope.detectors import names
 from flowscope.functions import codes, documents, net, temporal
-from flowscope.operators import columns, encode, enrich, pairing
+from flowscope.operators import columns, encode, enrich, evaluate, pairing
 from flowscope.operators.profile import class_measures
 from flowscope.operators.summary import summarize_vector
 from flowscope.plans import extract, incremental
@@ -502,6 +503,49 @@ def dga_model(spark, sf):
     return scored.select("page_id", vector_to_array("probability")[1].alias("prob"))
 
 
+# names of page hosts, learned from half of them: those under a country's domain against the others
+HOSTS = "SELECT DISTINCT regexp_extract(url, '^https?://([^/:]+)', 1) AS domain FROM pages"
+NAMES_SQL = f"""WITH h AS (SELECT domain, CASE WHEN ends_with(domain, '.com') THEN 0 ELSE 1 END AS label, md5(domain) >= '8' AS held_out,
+    concat('^', lower(split_part(domain, '.', 1)), '$') AS text FROM ({HOSTS}) WHERE domain <> ''),
+  e AS (SELECT domain, label, held_out, text, unnest(range(1, length(text) + 1)) AS place FROM h),
+  g AS (SELECT domain, label, held_out, place, n, substr(text, CAST(place - n + 1 AS BIGINT), CAST(n AS BIGINT)) AS gram FROM e, range(1, 4) AS r(n) WHERE n <= place),
+  c AS (SELECT gram, n, sum(label) AS one, sum(1 - label) AS zero FROM g WHERE NOT held_out GROUP BY gram, n),
+  t AS (SELECT n, sum(one) AS ones, sum(zero) AS zeros, count(*) AS grams FROM c GROUP BY n),
+  m AS (SELECT gram, ln((one + 1) / (ones + grams)) - ln((zero + 1) / (zeros + grams)) AS odds FROM c JOIN t USING (n) WHERE one + zero >= 5),
+  l AS (SELECT domain, place, arg_max(odds, g.n) AS odds FROM g JOIN m USING (gram) GROUP BY domain, place),
+  s AS (SELECT domain, sum(odds) AS odds FROM l GROUP BY domain),
+  b AS (SELECT ln((sum(label) + 1) / (sum(1 - label) + 1)) AS bias FROM h WHERE NOT held_out),
+  scored AS (SELECT h.domain, h.label, h.held_out, 1 / (1 + exp(-(coalesce(s.odds, 0) + bias))) AS prob FROM h LEFT JOIN s ON h.domain = s.domain, b)"""
+
+
+def _scored_hosts(spark, sf):
+    host = F.regexp_extract("url", r"^https?://([^/:]+)", 1).alias("domain")
+    hosts = table(spark, sf, "pages").select(host).where("domain <> ''").distinct()
+    label = F.when(F.col("domain").endswith(".com"), 0).otherwise(1).alias("label")
+    hosts = materialized(hosts.select("domain", label, (F.md5("domain") >= "8").alias("held_out")), "hosts")
+    model = materialized(names.learn_names(hosts.where("not held_out")), "names")
+    return hosts.join(names.score_names(hosts, model), "domain")
+
+
+@FLOWS.add("name_model", NAMES_SQL + " SELECT domain, label, held_out, round(prob, 6) AS prob FROM scored")
+def name_model(spark, sf):
+    """Name scores by character n-grams with back-off, learned from half of the page hosts."""
+    return _scored_hosts(spark, sf).select("domain", "label", "held_out", F.round("prob", 6).alias("prob"))
+
+
+@FLOWS.add(
+    "name_model_auc",
+    NAMES_SQL
+    + """, r AS (SELECT label, round(prob, 9) AS prob FROM scored WHERE held_out),
+  p AS (SELECT sum(CASE WHEN a.prob > b.prob THEN 1.0 WHEN a.prob = b.prob THEN 0.5 ELSE 0.0 END) AS wins, count(*) AS n FROM r AS a, r AS b WHERE a.label = 1 AND b.label = 0)
+  SELECT round(wins / n, 4) AS auc FROM p""",
+)
+def name_model_auc(spark, sf):
+    """How well the scores tell the held-out hosts apart."""
+    held = _scored_hosts(spark, sf).where("held_out").withColumn("prob", F.round("prob", 9))
+    return evaluate.roc_auc(held, "prob", "label").select(F.round("auc", 4).alias("auc"))
+
+
 ENRICH_SQL = (
     with_views("client_hello", "otx_raw", "urlhaus_raw", "popularity", "dga")
     + f", {OTX_SQL}, {URLHAUS_SQL}, {POPULARITY_SQL}, {DGA_SQL} SELECT flow_id, otx_status, otx_age, urlhaus_status, urlhaus_age, "

@@ -95,7 +95,7 @@ def test_one_class_split(table, local):
     assert train.count() == (local.malware_label == 0).sum() - math.ceil((local.malware_label == 0).sum() * 0.2)
 
 
-@pytest.mark.parametrize("buckets", [1, 4, 50])
+@pytest.mark.parametrize("buckets", [1, 5, 50, 5000])
 def test_ordered_with_a_hot_value(table, local, buckets):
     by = local.sort_values(["score", "id"]).reset_index(drop=True)
     ids = ordered.row_ids(table, ["score", "id"], "place", buckets).toPandas().sort_values("place")
@@ -117,7 +117,7 @@ def brute_roc(local):
     return points
 
 
-@pytest.mark.parametrize("buckets", [1, 9])
+@pytest.mark.parametrize("buckets", [1, 9, 5000])
 def test_roc(table, local, buckets):
     expected = brute_roc(local)
     full = evaluate.roc_curve(table, "score", "malware_label", drop_intermediate=False, buckets=buckets).collect()
