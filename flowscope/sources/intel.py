@@ -52,3 +52,16 @@ def read_popularity(
 
 def write_popularity(lists: DataFrame, path: str) -> None:
     lists.write.mode("append").partitionBy("list_date").parquet(path)
+
+
+def write_popularity_table(lists: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """The lists as an external table, partitioned by date and bucketed by domain: lookups by domain need no exchange of the
+    lists, a window of dates reads only its partitions. One exchange per write makes one file per date and bucket."""
+    dealt = lists.select("list_date", "rank", "domain").repartition(buckets, "domain")
+    writer = dealt.write.mode("append").partitionBy("list_date").bucketBy(buckets, "domain").sortBy("domain")
+    writer.option("path", path).format("parquet").saveAsTable(name)
+
+
+def read_popularity_table(spark: SparkSession, name: str, first: dt.date, last: dt.date, top: int) -> DataFrame:
+    lists = spark.table(name).select("list_date", "rank", "domain")
+    return lists.where(F.col("list_date").between(F.lit(first), F.lit(last)) & (F.col("rank") <= top))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
@@ -467,16 +468,33 @@ def urlhaus_lookup(spark, sf):
     return enrich.urlhaus_lookup(flows, fx.urlhaus_reports(spark, sf), "report_id", fx.AS_OF).drop("DstIP", "SNI")
 
 
-@FLOWS.add(
-    "domain_popularity",
-    with_views("client_hello", "popularity") + f", {POPULARITY_SQL} SELECT flow_id, round(dom_in_tranco_1m, 6) AS dom_in_tranco_1m FROM pop_hit",
+POPULARITY_QUERY = (
+    with_views("client_hello", "popularity") + f", {POPULARITY_SQL} SELECT flow_id, round(dom_in_tranco_1m, 6) AS dom_in_tranco_1m FROM pop_hit"
 )
+
+
+@FLOWS.add("domain_popularity", POPULARITY_QUERY)
 def domain_popularity(spark, sf):
     flows = clients(spark, sf).select("flow_id", "SNI")
     scored = enrich.domain_popularity(flows, view(spark, sf, "popularity"), fx.AS_OF.date())
     return scored.select("flow_id", F.round("dom_in_tranco_1m", 6).alias("dom_in_tranco_1m"))
 
 
+@FLOWS.add("domain_popularity_bucketed", POPULARITY_QUERY)
+def domain_popularity_bucketed(spark, sf):
+    """The same from a table that is bucketed by domain, of which only the window's dates are read."""
+    path = scratch_path(spark, "popularity")
+    name = f"popularity_{uuid.uuid4().hex}"
+    intel.write_popularity_table(view(spark, sf, "popularity"), name, path, buckets=16)
+    try:
+        as_of = fx.AS_OF.date()
+        lists = intel.read_popularity_table(spark, name, as_of - dt.timedelta(enrich.POPULARITY_DAYS), as_of, enrich.TOP_DOMAINS)
+        scored = enrich.domain_popularity(clients(spark, sf).select("flow_id", "SNI"), lists, as_of)
+        return materialized(scored.select("flow_id", F.round("dom_in_tranco_1m", 6).alias("dom_in_tranco_1m")), "scored")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 @FLOWS.add(
     "dga_score", with_views("client_hello", "dga") + f", {DGA_SQL} SELECT flow_id, round(dom_dga_prob, 6) AS dom_dga_prob FROM dga_hit"
 )

@@ -1,14 +1,15 @@
 """Files with their own headers and order, and tables that grow by batches."""
 
+import datetime as dt
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from flowscope import schema as S
-from flowscope.operators import pairing
+from flowscope.operators import enrich, pairing
 from flowscope.plans import incremental
-from flowscope.sources import batches, hello
+from flowscope.sources import batches, hello, intel
 from flowscope.workload import fixtures as fx
 
 NAMES = S.SERVER_HELLO.fieldNames()
@@ -89,6 +90,36 @@ def test_batches_take_effect_once(spark, tmp_path):
     assert batches.append_once(rows.where("id >= 4"), path, "two") and read() == list(range(10))
 
 
+def test_bucketed_lists_are_not_exchanged(spark, tmp_path):
+    days = [dt.date(2024, 1, d) for d in range(10, 31)]
+    rows = [(day, r, f"d{(r * 7 + day.day) % 40}") for day in days for r in range(1, 21)]
+    lists = spark.createDataFrame(rows, "list_date date, rank int, domain string")
+    flows = spark.createDataFrame([(i, f"d{i}" if i < 45 else "") for i in range(50)], "flow_id bigint, SNI string")
+    as_of = dt.date(2024, 1, 31)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        intel.write_popularity_table(lists, "popularity_test", f"file://{tmp_path}/lists", buckets=8)
+        stored = intel.read_popularity_table(spark, "popularity_test", dt.date(2024, 1, 16), dt.date(2024, 1, 29), 20)
+        found = enrich.popularity_table(flows, stored, as_of)
+        want = sorted(map(tuple, enrich.popularity_table(flows, lists, as_of).collect()))
+        assert sorted(map(tuple, found.collect())) == want and want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[0].splitlines()
+        scan = next(i for i, line in enumerate(final) if "popularity_test" in line)
+        depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+        above, level = [], depth(final[scan])
+        for line in reversed(final[:scan]):  # the operators between the scan and the root
+            if depth(line) < level:
+                above.append(line)
+                level = depth(line)
+        assert any("SortMergeJoin" in line for line in above) and not any("Exchange" in line for line in above)
+        assert "PartitionFilters: [isnotnull(list_date" in plan and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        spark.sql("DROP TABLE IF EXISTS popularity_test")
+
+
 def test_two_writers_of_a_batch(spark, tmp_path, monkeypatch):
     path, rows = f"{tmp_path}/table", spark.range(5)
     real, calls = batches.committed, []
