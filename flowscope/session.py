@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,9 +30,12 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder the session names; local runs without one get a temporary folder."""
+    """A fresh path in the shared folder the session names; local runs without one get a temporary folder. On a cluster
+    that folder must be named, as no other is shared."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="flowscope-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return os.path.join(shared, f"flowscope-{uuid.uuid4().hex}", name)

@@ -47,10 +47,20 @@ def explained_variance_curve(spark, sf):
     return reduction.explained_variance_curve(rows, names)
 
 
-@MODELS.add("study_correlations")
+VECTOR_NAMES = [LABEL, *[f"e{i}" for i in range(64)]]
+VECTORS = "SELECT vec_id, label % 2 AS malware_label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(64)) + " FROM embeddings"
+
+
+@MODELS.add(
+    "study_correlations",
+    # a correlation of standardised columns is that of the columns
+    f"""WITH v AS ({VECTORS}), u AS (UNPIVOT v ON {", ".join(VECTOR_NAMES[1:])} INTO NAME f VALUE x),
+    w AS (SELECT vec_id, f, x FROM u UNION ALL SELECT vec_id, '{LABEL}', {LABEL} FROM v)
+  SELECT a.f AS f1, b.f AS f2, round(corr(a.x, b.x), 6) AS r FROM w AS a JOIN w AS b ON a.vec_id = b.vec_id GROUP BY a.f, b.f""",
+)
 def study_correlations(spark, sf):
     rows, names = fx.embeddings(spark, sf)
-    return study.correlations(rows, names, LABEL)
+    return study.correlations(rows, names, LABEL).withColumn("r", F.round("r", 6))
 
 
 @MODELS.add("forest_importances")

@@ -404,6 +404,12 @@ def three_way_split(spark, sf):
     return sampling.three_way_split(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
 
 
+@TABLES.add("shuffled", f"WITH {RANKED_LABELS} SELECT doc_id, toxic, rn - 1 AS place FROM r")
+def shuffled(spark, sf):
+    """Rows with their places in the seeded order that ``shuffled`` gives them."""
+    return sampling.hash_rank(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", name="place")
+
+
 @TABLES.add("kfold", f"WITH {RANKED_LABELS} SELECT doc_id, toxic, CAST((rc - 1) % 10 AS INTEGER) AS fold FROM r")
 def kfold(spark, sf):
     return sampling.kfold(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", 10, by="toxic")
