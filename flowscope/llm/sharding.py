@@ -4,10 +4,13 @@ Rows have a 60-bit key: 32 bits of the text's hash, then 28 bits of the id's has
 next to each other, and a text that holds a large share of all rows still spreads over many keys. Splitters come
 from rounds of exact byte counts: each round cuts every open key interval into equal steps, sums the bytes in each
 step over all partitions (a partial aggregate of at most ``shards * steps`` rows) and keeps the step that holds the
-splitter. Then one range exchange puts the rows in order.
+splitter. Then one range exchange puts the rows in order. A splitter that falls into the rows of one key, which repeat an
+id and text, is refined in the same way over their places in the written table, so even a single row that repeats
+without end is split evenly.
 
-Defined results: a null text has no bytes and sorts with the empty text; a null id sorts with the empty id; rows with
-equal id and text share a key and stay in one shard; an empty table gives no rows; further columns are ignored.
+Defined results: a null text has no bytes and sorts with the empty text; a null id sorts with the empty id; of rows with
+equal id and text any may come first; an empty table gives no rows; further columns are ignored. ``write_shards``, which
+keeps no such places, leaves rows with equal id and text in one shard.
 """
 
 from __future__ import annotations
@@ -41,19 +44,27 @@ class Interval:
     below: int
 
 
-def splitters(keyed: DataFrame, key: str, weight: str, shards: int, tolerance: float = 0.0, steps: int = STEPS) -> list[int]:
-    """Boundary i is the least key with at least i/shards of the weight below it, or one whose weight below differs
-    from that by at most ``tolerance`` shards. ``keyed`` is read once per round, so it should be a written table."""
-    total = keyed.agg(F.sum(weight)).first()[0] or 0
-    slack = tolerance * total / shards
-    found: dict[int, int] = {}
-    open_: dict[int, Interval] = {i: Interval(0, 1 << KEY_BITS, 0) for i in range(1, shards)}
+@dataclass
+class Splitter:
+    """The least boundary with the wanted weight below it; ``key`` is the one key that reaches it, if that is known, and
+    ``below`` the weight under that key."""
+
+    boundary: int
+    key: int | None = None
+    below: int = 0
+
+
+def located(keyed: DataFrame, key: str, weight: str, wanted: dict[int, int], scale: int, high: int, slack: float = 0.0, steps: int = STEPS) -> dict[int, Splitter]:
+    """For each i the least boundary with ``scale`` times the weight below it at ``wanted[i]`` or more, or one whose weight
+    differs from that by at most ``slack``. ``keyed`` is read once per round, so it should be a written table."""
+    found: dict[int, Splitter] = {}
+    open_: dict[int, Interval] = {i: Interval(0, high, 0) for i in wanted}
     while open_:
         ranges = sorted({(x.low, x.high) for x in open_.values()})
         place = F.lit(None).cast("struct<low: bigint, step: bigint>")
-        for low, high in ranges:
-            width = max(1, -(-(high - low) // steps))
-            inside = (F.col(key) >= low) & (F.col(key) < high)
+        for low, top in ranges:
+            width = max(1, -(-(top - low) // steps))
+            inside = (F.col(key) >= low) & (F.col(key) < top)
             at = F.floor((F.col(key) - F.lit(low)) / F.lit(width)) if width < 2**40 else F.expr(f"({key} - {low}) div {width}")
             place = F.when(inside, F.struct(F.lit(low).cast("bigint").alias("low"), at.cast("bigint").alias("step"))).otherwise(place)
         sums = (
@@ -70,23 +81,46 @@ def splitters(keyed: DataFrame, key: str, weight: str, shards: int, tolerance: f
             below = interval.below
             for row in by_range.get(interval.low, []):
                 above = below + row.weight
-                if above * shards >= i * total:  # the boundary lies in this step
-                    if row.first == row.last or above - below <= slack:
-                        found[i] = row.last + 1
+                if above * scale >= wanted[i]:  # the boundary lies in this step
+                    if row.first == row.last:
+                        found[i] = Splitter(row.last + 1, row.last, below)
+                    elif above - below <= slack:
+                        found[i] = Splitter(row.last + 1)
                     else:
                         open_[i] = Interval(row.first, row.last + 1, below)
                     break
                 below = above
             if i in found or not by_range.get(interval.low):
-                found.setdefault(i, interval.high)
+                found.setdefault(i, Splitter(interval.high))
                 del open_[i]
+    return found
+
+
+def splitters(keyed: DataFrame, key: str, weight: str, shards: int, tolerance: float = 0.0, steps: int = STEPS) -> list[Splitter]:
+    """Splitter i is the least key with at least i/shards of the weight below it, or one whose weight below differs
+    from that by at most ``tolerance`` shards."""
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    found = located(keyed, key, weight, {i: i * total for i in range(1, shards)}, shards, 1 << KEY_BITS, tolerance * total / shards, steps)
     return [found[i] for i in range(1, shards)]
 
 
-def shard_of(key: Column, bounds: Sequence[int]) -> Column:
+def refined(keyed: DataFrame, key: str, place: str, weight: str, shards: int, found: Sequence[Splitter]) -> list[tuple[int, int | None]]:
+    """(boundary, place): where rows of one key reach a splitter, the key, and the least place whose rows lie beyond it."""
+    keys = sorted({s.key for s in found if s.key is not None})
+    repeated = {r[key] for r in keyed.where(F.col(key).isin(keys)).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").collect()} if keys else set()
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    places: dict[int, int] = {}
+    for k in repeated:
+        wanted = {i: i * total - shards * s.below for i, s in enumerate(found, 1) if s.key == k}
+        places |= {i: s.boundary for i, s in located(keyed.where(F.col(key) == k), place, weight, wanted, shards, 1 << 62).items()}
+    return [(s.key, places[i]) if i in places else (s.boundary, None) for i, s in enumerate(found, 1)]
+
+
+def shard_of(key: Column, bounds: Sequence[tuple[int, int | None]], place: Column | None = None) -> Column:
     shard = F.lit(0)
-    for bound in bounds:
-        shard = shard + (key >= F.lit(bound)).cast("int")
+    for bound, least in bounds:
+        beyond = key >= F.lit(bound) if least is None else (key > F.lit(bound)) | ((key == F.lit(bound)) & (place >= F.lit(least)))
+        shard = shard + beyond.cast("int")
     return shard.cast("int")
 
 
@@ -103,14 +137,15 @@ def shard_rows(docs: DataFrame, shards: int, text: str = "text", ident: str = "d
             size.cast("bigint").alias("size"),
             F.crc32(F.col(text).cast("binary")).cast("bigint").alias("text_crc32"),
             sort_key(text, ident).alias("key"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "keys",
     )
-    bounds = splitters(narrow, "key", "size", shards, tolerance)
-    placed = narrow.withColumn("shard", shard_of(F.col("key"), bounds))
-    ordered = placed.repartitionByRange("shard", "key").sortWithinPartitions("shard", "key", "id")
+    bounds = refined(narrow, "key", "row", "size", shards, splitters(narrow, "key", "size", shards, tolerance))
+    placed = narrow.withColumn("shard", shard_of(F.col("key"), bounds, F.col("row")))
+    ordered = placed.repartitionByRange("shard", "key", "row").sortWithinPartitions("shard", "key", "row")
     place = F.monotonically_increasing_id()
-    ordered = materialized(ordered.withColumn("place", place).drop("key"), "ordered")
+    ordered = materialized(ordered.withColumn("place", place).drop("key", "row"), "ordered")
 
     part = F.shiftright("place", 33).alias("part")
     counts = ordered.groupBy(part, "shard").agg(F.count("*").alias("n"), F.min("place").alias("first")).collect()
@@ -133,7 +168,7 @@ def write_shards(docs: DataFrame, path: str, shards: int, text: str = "text", id
     named shard is replaced."""
     size = (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + F.lit(1)).cast("bigint")
     narrow = materialized(docs.select(sort_key(text, ident).alias("key"), size.alias("size")), "keys")
-    bounds = splitters(narrow, "key", "size", shards, tolerance)
+    bounds = [(s.boundary, None) for s in splitters(narrow, "key", "size", shards, tolerance)]
     key = unused(docs, "_key")
     keyed = docs.withColumn(key, sort_key(text, ident)).withColumn("shard", shard_of(F.col(key), bounds))
     ordered = keyed.repartitionByRange("shard", key).sortWithinPartitions("shard", key)

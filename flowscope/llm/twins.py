@@ -4,7 +4,7 @@ SHARDING = r"""
 WITH tbl AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS c FROM range(256) AS r(n))),
 b AS (SELECT doc_id, text, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size,
   CAST(concat('0x', substr(md5(coalesce(text, '')), 1, 8), substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 7)) AS BIGINT) AS key FROM documents),
-k AS (SELECT *, sum(size) OVER () AS total, coalesce(sum(size) OVER (ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b),
+k AS (SELECT *, sum(size) OVER () AS total, coalesce(sum(size) OVER (ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b),
 s AS (SELECT *, CAST(least(7, 8 * below // total) AS INTEGER) AS shard FROM k),
 h AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(concat('0x', x) AS BIGINT)) AS bytes FROM documents)
 SELECT s.doc_id, s.size, CASE WHEN s.text IS NOT NULL THEN xor(4294967295, list_reduce(list_concat([4294967295], h.bytes), lambda a, x: xor(a >> 8, t[CAST((xor(a, x) & 255) + 1 AS BIGINT)]))) END AS text_crc32,

@@ -53,10 +53,10 @@ def test_hot_text_and_long_text(spark):
     check(spark, [(i, "same text" if i % 3 else f"text {i}") for i in range(600)] + [(-1, "y" * 30_000), (None, "n")])
 
 
-def test_repeated_rows_stay_together(spark):
-    rows = [(1, "a"), (1, "a"), (1, "a"), (2, "b"), (3, "c")]
+def test_repeated_rows_fill_shards_evenly(spark):
+    rows = [(1, "a"), (1, "a"), (1, "a"), (2, "b"), (3, "c"), (1, "a")]
     found = S.shard_rows(table(spark, rows), 3).collect()
-    assert len({r.shard for r in found if r.id == 1}) == 1 and len(found) == 5
+    assert sorted(r.shard for r in found) == [0, 0, 1, 1, 2, 2]
 
 
 def test_empty(spark):
@@ -70,9 +70,9 @@ def test_tolerance(spark, steps):
     exact, rough = S.splitters(keyed, "k", "w", 5, 0.0, steps), S.splitters(keyed, "k", "w", 5, 0.2, steps)
     total = keyed.agg({"w": "sum"}).first()[0]
     for i, (a, b) in enumerate(zip(exact, rough, strict=True), 1):
-        below = keyed.where(f"k < {b}").agg({"w": "sum"}).first()[0] or 0
+        below = keyed.where(f"k < {b.boundary}").agg({"w": "sum"}).first()[0] or 0
         assert abs(below - i * total / 5) <= 0.2 * total / 5 + 50
-        assert keyed.where(f"k < {a}").agg({"w": "sum"}).first()[0] * 5 >= i * total
+        assert keyed.where(f"k < {a.boundary}").agg({"w": "sum"}).first()[0] * 5 >= i * total
 
 
 def test_written(spark, tmp_path):
@@ -81,3 +81,16 @@ def test_written(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     got = {r.doc_id: r.shard for r in back.collect()}
     assert got == {r.id: r.shard for r in S.shard_rows(docs, 4).collect()}
+
+
+def test_rows_that_repeat_id_and_text_are_split(spark):
+    rows = [(None, "hot text")] * 600 + [(i, "cold text number") for i in range(400)] + [(7, None)] * 50
+    found = S.shard_rows(table(spark, rows), 4).collect()
+    assert len(found) == len(rows)
+    total = sum(r.size for r in found)
+    for shard in range(4):
+        own = [r for r in found if r.shard == shard]
+        assert abs(sum(r.size for r in own) - total / 4) <= 18
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+    alone = S.shard_rows(table(spark, [(1, "x")] * 80), 8).collect()
+    assert sorted((r.shard, r.slot) for r in alone) == [(s, i) for s in range(8) for i in range(10)]
