@@ -1,7 +1,10 @@
 """Seeded exact-size samples, splits and folds by hash order.
 
-Rows are ordered by ``md5(seed|id)``, which is stable across partitionings and retries; the id must be unique.
-An exact sample is the filter ``hash <= cut``. The cut is found with counts per hash prefix and a look into
+Rows are ordered by ``md5(seed|id)``, which is stable across partitionings and retries. Rows that repeat an id share a
+hash; among them the place in the table decides, so sizes are exact for them too, while which of them are taken may change
+with the partitioning. Give a written table where ids repeat: its places are the same in every scan. All rows of one id are
+ranked in one task, so ids should not be shared by a large part of the table.
+An exact sample is the filter ``(hash, place) <= cut``. The cut is found with counts per hash prefix and a look into
 the one prefix where the wanted size is reached, so there is no global sort, no limit and no shuffle of
 whole rows.
 """
@@ -14,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PREFIX = 4  # hex digits: 65,536 hash ranges
+PLACE = "_place_of_row"
 BENIGN, MALWARE = 0, 1
 
 
@@ -21,16 +25,21 @@ def row_hash(row_id: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_id).cast("string")))
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """Add the place of each row, which ``hash_cuts`` and ``within`` need."""
+    return df.withColumn(PLACE, F.monotonically_increasing_id())
+
+
 def hash_cuts(
     df: DataFrame, row_id: str, seed: int, quota: Callable[[DataFrame], DataFrame], by: Column | None = None
 ) -> Column:
-    """Scalar map class -> largest hash in the sample.
+    """Scalar map class -> largest (hash, place) in the sample, of a ``placed`` table.
 
     ``quota`` turns ``(class, n)``, one row per class, into ``(class, want)``. Classes are few by nature, so
     the map is small. A class that wants nothing is absent; one that wants more than it has is taken whole.
     """
     cls = F.lit("all") if by is None else by.cast("string")
-    hashed = df.select(cls.alias("class"), row_hash(row_id, seed).alias("h"))
+    hashed = df.select(cls.alias("class"), row_hash(row_id, seed).alias("h"), F.col(PLACE).alias("t"))
     hashed = hashed.withColumn("prefix", F.substring("h", 1, PREFIX))
     histogram = hashed.groupBy("class", "prefix").agg(F.count("*").alias("n"))
     sizes = histogram.groupBy("class").agg(F.sum("n").alias("n"))
@@ -43,20 +52,21 @@ def hash_cuts(
         .where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want")))
         .select("class", "prefix", (F.col("want") - F.col("upto") + F.col("n")).alias("need"))
     )
-    place = F.row_number().over(Window.partitionBy("class").orderBy("h"))
+    place = F.row_number().over(Window.partitionBy("class").orderBy("h", "t"))
     cuts = (
         hashed.join(F.broadcast(edges), ["class", "prefix"])
         .withColumn("place", place)
         .where(F.col("place") == F.col("need"))
-        .select(F.struct("class", "h").alias("cut"))
+        .select(F.struct("class", F.struct("h", "t")).alias("cut"))
     )
     return cuts.agg(F.map_from_entries(F.collect_list("cut")).alias("cuts")).scalar()
 
 
 def within(cuts: Column, row_id: str, seed: int, by: Column | None = None) -> Column:
-    """Whether a row is in the sample."""
+    """Whether a row of a ``placed`` table is in the sample."""
     cls = F.lit("all") if by is None else by.cast("string")
-    return F.coalesce(row_hash(row_id, seed) <= F.try_element_at(cuts, cls), F.lit(False))
+    own = F.struct(row_hash(row_id, seed).alias("h"), F.col(PLACE).alias("t"))
+    return F.coalesce(own <= F.try_element_at(cuts, cls), F.lit(False))
 
 
 def fixed_quota(want: int) -> Callable[[DataFrame], DataFrame]:
@@ -65,8 +75,8 @@ def fixed_quota(want: int) -> Callable[[DataFrame], DataFrame]:
 
 def sample_n(df: DataFrame, row_id: str, n: int, seed: int = 42, by: str | None = None) -> DataFrame:
     """Exactly n rows (all, if there are fewer); with ``by``, n rows of each class."""
-    cls = None if by is None else F.col(by)
-    return df.where(within(hash_cuts(df, row_id, seed, fixed_quota(n), cls), row_id, seed, cls))
+    cls, df = None if by is None else F.col(by), placed(df)
+    return df.where(within(hash_cuts(df, row_id, seed, fixed_quota(n), cls), row_id, seed, cls)).drop(PLACE)
 
 
 def class_ratio_sample(
@@ -96,9 +106,9 @@ def class_ratio_sample(
         taken = F.least((share * base).cast("bigint"), available)
         return sizes.select("class", F.when(is_malware, taken).otherwise(F.lit(size) - taken).alias("want"))
 
-    rows = df.where(F.col(label).isin(benign, malware))
+    rows = placed(df.where(F.col(label).isin(benign, malware)))
     cls = F.col(label)
-    return rows.where(within(hash_cuts(rows, row_id, seed, quota, cls), row_id, seed, cls))
+    return rows.where(within(hash_cuts(rows, row_id, seed, quota, cls), row_id, seed, cls)).drop(PLACE)
 
 
 def shuffled(df: DataFrame, row_id: str, seed: int = 42) -> DataFrame:
@@ -110,19 +120,21 @@ def downsample_class(
     df: DataFrame, row_id: str, label: str, percent: float, value: int = BENIGN, seed: int = 42
 ) -> DataFrame:
     """Keep ``int(count * percent/100)`` rows of one class and all of the others."""
+    df = placed(df)
     part = df.where(F.col(label) == value)
     quota = lambda sizes: sizes.select("class", (F.col("n") * F.lit(percent / 100.0)).cast("bigint").alias("want"))
     kept = within(hash_cuts(part, row_id, seed, quota), row_id, seed)
-    return df.where((F.col(label) != value) | kept)
+    return df.where((F.col(label) != value) | kept).drop(PLACE)
 
 
 def train_test_split(
     df: DataFrame, row_id: str, test_fraction: float = 0.2, seed: int = 42, name: str = "split"
 ) -> DataFrame:
     """Add ``split``: ``ceil(fraction * n)`` rows are ``test``, the complement is ``train``."""
+    df = placed(df)
     quota = lambda sizes: sizes.select("class", F.ceil(F.col("n") * F.lit(test_fraction)).alias("want"))
     test = within(hash_cuts(df, row_id, seed, quota), row_id, seed)
-    return df.withColumn(name, F.when(test, "test").otherwise("train"))
+    return df.withColumn(name, F.when(test, "test").otherwise("train")).drop(PLACE)
 
 
 def hash_split(
@@ -137,10 +149,11 @@ def three_way_split(df: DataFrame, row_id: str, fraction: float = 0.2, seed: int
     """``test`` is ``ceil(f*n)`` rows, ``valid`` ``ceil(f*rest)`` of the rest (0.64 / 0.16 / 0.20 by default)."""
     test_size = F.ceil(F.col("n") * F.lit(fraction))
     valid_size = F.ceil((F.col("n") - test_size) * F.lit(fraction))
+    df = placed(df)
     test = hash_cuts(df, row_id, seed, lambda s: s.select("class", test_size.alias("want")))
     held = hash_cuts(df, row_id, seed, lambda s: s.select("class", (test_size + valid_size).alias("want")))
     split = F.when(within(test, row_id, seed), "test").when(within(held, row_id, seed), "valid").otherwise("train")
-    return df.withColumn("split", split)
+    return df.withColumn("split", split).drop(PLACE)
 
 
 def hash_rank(df: DataFrame, row_id: str, seed: int = 42, by: str | None = None, name: str = "rank") -> DataFrame:
@@ -150,16 +163,16 @@ def hash_rank(df: DataFrame, row_id: str, seed: int = 42, by: str | None = None,
     rows per class, and no task ranks more than a prefix.
     """
     keys = ([by] if by else []) + ["_prefix"]
-    hashed = df.withColumn("_h", row_hash(row_id, seed)).withColumn("_prefix", F.substring("_h", 1, PREFIX))
+    hashed = placed(df).withColumn("_h", row_hash(row_id, seed)).withColumn("_prefix", F.substring("_h", 1, PREFIX))
     before = Window.partitionBy(*keys[:-1]).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     sizes = hashed.groupBy(*keys).agg(F.count("*").alias("_n"))
     shifts = sizes.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", PLACE))
     return (
         hashed.withColumn("_rank", number)
         .join(F.broadcast(shifts), keys)
         .withColumn(name, (F.col("_rank") - 1 + F.col("_shift")).cast("bigint"))
-        .drop("_h", "_prefix", "_rank", "_shift")
+        .drop("_h", "_prefix", "_rank", "_shift", PLACE)
     )
 
 
@@ -172,10 +185,11 @@ def one_class_split(
     df: DataFrame, row_id: str, label: str, benign: int = 1, test_fraction: float = 0.2, seed: int = 1
 ) -> DataFrame:
     """Benign rows split into train and test; every malware row is test."""
+    df = placed(df)
     normal = df.where(F.col(label) == benign)
     quota = lambda sizes: sizes.select("class", F.ceil(F.col("n") * F.lit(test_fraction)).alias("want"))
     held = within(hash_cuts(normal, row_id, seed, quota), row_id, seed)
-    return df.withColumn("split", F.when((F.col(label) == benign) & ~held, "train").otherwise("test"))
+    return df.withColumn("split", F.when((F.col(label) == benign) & ~held, "train").otherwise("test")).drop(PLACE)
 
 
 def union_rows(*parts: DataFrame) -> DataFrame:

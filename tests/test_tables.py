@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowscope.operators import columns, evaluate, ordered, profile, sampling, summary, variance
+from flowscope.session import materialized
 
 
 @pytest.fixture(scope="module")
@@ -215,3 +216,19 @@ def test_median_of_continuous_and_hot_values(spark):
     df = spark.createDataFrame([("x", float(v)) for v in x] + [("y", float(v)) for v in y], "feature string, value double")
     got = {r.feature: r["median"] for r in variance.exact_median(df, ["feature"]).collect()}
     assert got == {"x": np.median(x), "y": np.median(y)}
+
+
+def test_exact_sizes_where_ids_repeat(spark):
+    rows = materialized(spark.range(4000).selectExpr("id div 2 AS id", "cast(id % 3 = 0 AS int) AS malware_label").union(spark.sql("SELECT 7L, 0 FROM range(3000)")), "twice")
+    assert sampling.sample_n(rows, "id", 101).count() == 101
+    assert sampling.train_test_split(rows, "id").groupBy("split").count().collect() and sampling.train_test_split(rows, "id").where("split = 'test'").count() == 1400
+    parts = {r.split: r["count"] for r in sampling.three_way_split(rows, "id").groupBy("split").count().collect()}
+    assert parts == {"test": 1400, "valid": 1120, "train": 4480}
+    drawn = {r.malware_label: r["count"] for r in sampling.class_ratio_sample(rows, "id", "malware_label", 500, 25.0).groupBy("malware_label").count().collect()}
+    assert drawn == {0: 375, 1: 125}
+    folds = [r["count"] for r in sampling.kfold(rows, "id", 7).groupBy("fold").count().collect()]
+    assert len(folds) == 7 and sum(folds) == 7000 and max(folds) - min(folds) <= 1
+    kept = sampling.downsample_class(rows, "id", "malware_label", 10.0)
+    benign = rows.where("malware_label = 0").count()
+    assert kept.where("malware_label = 0").count() == benign // 10
+    assert sorted(sampling.sample_n(rows, "id", 50).columns) == ["id", "malware_label"]
