@@ -302,6 +302,7 @@ def meeting(percent: int):
         links = []
         for part in np.split(order, cuts):
             links += forest([comps[i] for i in part], sides[part], [hashes[i] for i in part], percent)
+        tokens.release()
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return meet

@@ -145,6 +145,14 @@ def words(texts: pa.Array, lower: bool = False, inside=in_word) -> Words:
     )
 
 
+def release() -> None:
+    """Give memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def releasing(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``work`` on batches; at its end, memory that is free goes back to the system, as workers are kept for later tasks."""
 
@@ -152,10 +160,7 @@ def releasing(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            release()
 
     return run
 
