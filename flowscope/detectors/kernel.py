@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -156,49 +157,53 @@ def fit_svm(
     """
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     source = assembler.transform(df).select(vector_to_array("features").alias("x"), F.col(label).cast("double").alias(label), "features")
+    # written, as the landmarks' draws and every step of the optimiser read them again: the optimiser's tasks then carry a
+    # scan and not the map to the features
+    source = materialized(source, "svm_rows")
+    n = source.count()
     landmarks = choose_landmarks(source, components, gamma, seed)
     kernel = LandmarkFeatures(inputCol="features", outputCol="kernel", dim=len(features), landmarks=landmarks.ravel().tolist(), gamma=gamma)
     fold = F.pmod(F.xxhash64("x", F.lit(seed + 1)), F.lit(CALIBRATION_FOLDS)).alias("fold")
-    train = kernel.transform(source).select("kernel", label, fold).persist()
-    try:
-        n = train.count()
-        # a sample of a large table comes in many small pieces, and every optimiser step visits all of them
-        compact = train.coalesce(max(1, math.ceil(n / ROWS_PER_TASK)))
-
-        def machine(rows: DataFrame, size: int):
-            svc = LinearSVC(
-                featuresCol="kernel",
-                labelCol=label,
-                regParam=1.0 / (c * max(size, 1)),
-                standardization=False,
-                maxIter=max_iter,
-                tol=SVM_TOLERANCE,
-            )
-            return svc.fit(rows)
-
-        def held_out(k: int) -> DataFrame | None:
-            others = compact.where(F.col("fold") != k)
-            size = others.count()
-            return machine(others, size).transform(compact.where(F.col("fold") == k)).select("rawPrediction", label) if size else None
-
-        stages = [assembler, kernel, machine(compact, n)]
-        if probability:
-            with ThreadPoolExecutor(CALIBRATION_FOLDS) as pool:
-                parts = [p for p in pool.map(held_out, range(CALIBRATION_FOLDS)) if p is not None]
-            margins = parts[0]
-            for part in parts[1:]:
-                margins = margins.union(part)
-            calibration = LogisticRegression(
-                featuresCol="rawPrediction",
-                labelCol=label,
-                rawPredictionCol="calibration",
-                probabilityCol="probability",
-                predictionCol="calibrated",
-            )
-            stages.append(calibration.fit(margins))
-        return PipelineModel(stages)
-    finally:
-        train.unpersist()
+    train = materialized(kernel.transform(source).select("kernel", label, fold), "svm_features")
+    # a sample of a large table comes in many small pieces, and every optimiser step visits all of them
+    compact = train.coalesce(max(1, math.ceil(n / ROWS_PER_TASK)))
+
+    def machine(rows: DataFrame, size: int):
+        svc = LinearSVC(
+            featuresCol="kernel",
+            labelCol=label,
+            regParam=1.0 / (c * max(size, 1)),
+            standardization=False,
+            maxIter=max_iter,
+            tol=SVM_TOLERANCE,
+        )
+        return svc.fit(rows)
+
+    sizes = dict(train.groupBy("fold").count().collect()) if probability else {}
+
+    def held_out(k: int) -> DataFrame | None:
+        if n == sizes[k]:
+            return None
+        others = machine(compact.where(F.col("fold") != k), n - sizes[k])
+        return others.transform(compact.where(F.col("fold") == k)).select("rawPrediction", label)
+
+    # the machines are independent, and a step of one is a small job
+    with ThreadPoolExecutor(CALIBRATION_FOLDS + 1) as pool:
+        whole = pool.submit(machine, compact, n)
+        parts = [p for p in pool.map(held_out, sorted(sizes)) if p is not None]
+        stages = [assembler, kernel, whole.result()]
+    if probability:
+        # equal rows share a fold; if there is no other, their own margins have to do
+        parts = parts or [stages[-1].transform(compact).select("rawPrediction", label)]
+        calibration = LogisticRegression(
+            featuresCol="rawPrediction",
+            labelCol=label,
+            rawPredictionCol="calibration",
+            probabilityCol="probability",
+            predictionCol="calibrated",
+        )
+        stages.append(calibration.fit(reduce(DataFrame.union, parts)))
+    return PipelineModel(stages)
 
 
 def calibration_table(scored: DataFrame, label: str = LABEL, bins: int = 10) -> DataFrame:

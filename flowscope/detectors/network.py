@@ -9,14 +9,15 @@ import numpy as np
 # --- fixed values: optimiser defaults --------------------------------------------------------------
 RATE, BETA1, BETA2, EPSILON = 1e-3, 0.9, 0.999, 1e-7
 # --- end of fixed values ---------------------------------------------------------------------------
+PIECE = 8192
 
 
 def elu(x):
-    return np.where(x > 0, x, np.expm1(np.minimum(x, 0)))
+    return np.maximum(x, 0) + np.expm1(np.minimum(x, 0))
 
 
 def elu_slope(y):
-    return np.where(y > 0, 1.0, y + 1.0)
+    return np.minimum(y, 0) + 1.0
 
 
 def relu(x):
@@ -82,20 +83,23 @@ class Layout:
         outputs = self.forward(flat, x)
         error = outputs[-1] - x
         delta = 2.0 * error / error.size
-        gradients = []
-        for i in range(len(self.activations) - 1, -1, -1):
+        gradient = np.empty(self.length())
+        layers, slots = self.layers(flat), self.layers(gradient)
+        for i in range(len(layers) - 1, -1, -1):
             if i == 0 and self.l1:
                 delta = delta + self.l1 * np.sign(outputs[1]) / len(x)
-            delta = delta * ACTIVATIONS[self.activations[i]][1](outputs[i + 1])
-            gradients.append((outputs[i].T @ delta, delta.sum(axis=0)))
-            delta = delta @ self.layers(flat)[i][0].T
-        parts = [p for w, b in reversed(gradients) for p in (w.ravel(), b)]
-        return float(np.mean(error**2)), np.concatenate(parts)
+            if self.activations[i] != "linear":
+                delta = delta * ACTIVATIONS[self.activations[i]][1](outputs[i + 1])
+            np.matmul(outputs[i].T, delta, out=slots[i][0])
+            np.sum(delta, axis=0, out=slots[i][1])
+            if i:
+                delta = delta @ layers[i][0].T
+        return float(np.mean(error**2)), gradient
 
 
 @dataclass
 class Adam:
-    """Optimiser state over a flat parameter vector."""
+    """Optimiser state over a flat parameter vector; a step changes its own copies in place."""
 
     flat: np.ndarray
     first: np.ndarray = field(default=None)
@@ -103,12 +107,19 @@ class Adam:
     steps: int = 0
 
     def __post_init__(self):
-        self.first = np.zeros_like(self.flat) if self.first is None else self.first
-        self.second = np.zeros_like(self.flat) if self.second is None else self.second
+        self.flat = np.array(self.flat)
+        self.first = np.zeros_like(self.flat) if self.first is None else np.array(self.first)
+        self.second = np.zeros_like(self.flat) if self.second is None else np.array(self.second)
 
     def step(self, gradient: np.ndarray) -> None:
         self.steps += 1
-        self.first = BETA1 * self.first + (1 - BETA1) * gradient
-        self.second = BETA2 * self.second + (1 - BETA2) * gradient * gradient
         rate = RATE * np.sqrt(1 - BETA2**self.steps) / (1 - BETA1**self.steps)
-        self.flat = self.flat - rate * self.first / (np.sqrt(self.second) + EPSILON)
+        for at in range(0, len(self.flat), PIECE):  # a piece stays in the processor's cache
+            g, first, second = (v[at : at + PIECE] for v in (gradient, self.first, self.second))
+            first *= BETA1
+            first += (1 - BETA1) * g
+            second *= BETA2
+            second += (1 - BETA2) * (g * g)
+            root = np.sqrt(second)
+            root += EPSILON
+            self.flat[at : at + PIECE] -= rate * (first / root)
