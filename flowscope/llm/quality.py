@@ -1,27 +1,39 @@
 """Quality rules with DataFrame operations only: counts of each text, and a hashed n-gram likelihood ratio.
 
 Words and pairs of neighbouring words are hashed into ``BUCKETS`` buckets. One multinomial over the buckets is counted
-from trusted documents, one from all documents; every bucket of both gets the same prior of ``SMOOTHING`` trusted
-counts. A document's score is the sum of its n-grams' log ratios (trusted over raw) divided by their number, and a
-document is kept if its score is at least the threshold. The table of log ratios has ``BUCKETS`` numbers at any input
-size. Scores are sums in text order, so equal texts always get equal verdicts.
+from trusted documents, one from all documents. A bucket's log ratio is taken only as far as it goes beyond ``ERRORS``
+standard errors and a factor of ``FACTOR``, else it is 0: what few counts or a few families of copies make is left out, so
+the few words that trusted documents avoid aren't lost among hundreds of others. A document's score is the sum of its
+n-grams' log ratios (trusted over raw) divided by their number, and a document is kept if its score is at least the
+threshold. Without a given threshold it is the score that a share ``LOST`` of the trusted documents of ten words or more
+lies below, found exactly in steps of ``1 / STEPS`` from all of them. The table of log ratios has ``BUCKETS`` numbers at
+any input size. Scores are sums in text order, so equal texts always get equal verdicts.
 
 Defined results: null, empty and blank texts have no words and fail the base rules; repeated rows are counted as often
-as they occur; without trusted documents every score is 0; a trusted id that is null or unknown counts nothing;
-documents with a null id are scored but never trusted; further columns are ignored.
+as they occur; without trusted documents every score and the threshold are 0; a trusted id that is null or unknown counts
+nothing; documents with a null id are scored but never trusted; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.llm.common import let, words
 from flowscope.operators.skew import BROADCAST_ROWS
+from flowscope.session import materialized
 
 BUCKETS = 1 << 18
-#: Counts added to each bucket, on the trusted corpus's scale: rare n-grams say little about other documents.
-SMOOTHING = 20.0
+#: Counts added to each bucket, on the trusted corpus's scale.
+SMOOTHING = 1.0
+ERRORS = 2.0
+FACTOR = 2.0
+#: Share of the trusted documents that the threshold may reject.
+LOST = 0.01
+STEPS = 10_000
+SHORTEST = 10
 WINDOW = 5
 SYMBOLS = "[#*$%&|<>]"
 
@@ -43,13 +55,15 @@ def buckets(hashes: Column) -> Column:
     return let(hashes, both)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", ident: str = "doc_id") -> Column:
-    """Scalar ``array<double>``: the log ratio of each bucket, trusted over raw.
+def trusted_ids(trusted: DataFrame, ident: str) -> DataFrame:
+    """The distinct ids as ``id``; up to BROADCAST_ROWS of them are broadcast, beyond that a join with them shuffles."""
+    ids = trusted.select(F.col(ident).alias("id")).where("id is not null").distinct()
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
 
-    ``trusted`` has the trusted ids in a column named like ``ident``. Up to BROADCAST_ROWS of them are broadcast,
-    beyond that the join shuffles."""
-    ids = trusted.select(F.col(ident).alias("id")).where("id is not null").distinct().withColumn("trusted", F.lit(1))
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+def log_ratios(docs: DataFrame, ids: DataFrame, text: str = "text", ident: str = "doc_id") -> Column:
+    """Scalar ``array<double>``: the log ratio of each bucket, trusted over raw. It is written once, as one row."""
+    ids = ids.withColumn("trusted", F.lit(1))
     grams = docs.select(F.col(ident).alias("id"), buckets(word_hashes(F.col(text))).alias("grams")).join(ids, "id", "left")
     # with the outer form no filter on the array's size is added, which would compute the array twice
     seen = grams.select(F.explode_outer("grams").alias("bucket"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
@@ -59,10 +73,21 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", ident: s
     whole = every.agg(rows.alias("rows"), F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("target"))
 
     def ratio(x: Column) -> Column:
-        expected = x["raw"] * (F.col("target") / F.col("raw"))
-        return F.when(F.col("target") == 0, F.lit(0.0)).otherwise(F.log((x["target"] + SMOOTHING) / (expected + SMOOTHING)))
+        seen, expected = x["target"] + SMOOTHING, x["raw"] * (F.col("target") / F.col("raw")) + SMOOTHING
+        sure = F.abs(F.log(seen / expected)) - ERRORS * F.sqrt(1 / seen + 1 / expected) - math.log(FACTOR)
+        return F.when((F.col("target") == 0) | (sure <= 0), F.lit(0.0)).otherwise(F.signum(seen - expected) * sure)
+
+    return materialized(whole.select(F.transform("rows", ratio).alias("ratios")), "ratios").scalar()
+
 
-    return whole.select(F.transform("rows", ratio).alias("ratios")).scalar()
+def trusted_threshold(docs: DataFrame, ids: DataFrame, ratios: Column, lost: float, text: str = "text", ident: str = "doc_id") -> float:
+    """The score that a share ``lost`` of the trusted documents lies below, rounded down to a step; 0 without any."""
+    hashed = docs.select(F.col(ident).alias("id"), word_hashes(F.col(text)).alias("hashes")).join(ids, "id", "left_semi")
+    hashed = hashed.withColumn("_ratios", ratios)
+    step = F.when(F.size("hashes") >= SHORTEST, F.floor(mean_ratio(F.col("hashes"), F.col("_ratios")) * STEPS))
+    # counted by distinct step, so it is exact, the same in any order, and its size doesn't grow with the rows
+    found = hashed.select(step.alias("step")).agg(F.percentile("step", lost)).first()[0]
+    return 0.0 if found is None else math.floor(found) / STEPS
 
 
 def mean_ratio(hashes: Column, ratios: Column) -> Column:
@@ -83,13 +108,12 @@ def repeated_words(hashes: Column) -> Column:
         return F.transform(starts, lambda i: F.xxhash64(*[h[i + k] for k in range(WINDOW)]))
 
     def covered(windows: Column) -> Column:
-        def marked(ordered: Column) -> Column:
-            # of each sorted hash, whether its neighbour equals it
-            return F.array_distinct(F.filter(ordered, lambda x, i: (i > 0) & (F.get(ordered, i - 1) == x)))
+        def repeats(ordered: Column) -> Column:
+            # in the order of (hash, place), places whose neighbour has the same hash
+            like = lambda x, i: F.coalesce(F.get(ordered, i)["hash"] == x["hash"], F.lit(False))
+            return F.sort_array(F.transform(F.filter(ordered, lambda x, i: like(x, i - 1) | like(x, i + 1)), lambda x: x["place"]))
 
-        def count(twice: Column) -> Column:
-            flags = F.transform(windows, lambda x, i: F.when(F.array_contains(twice, x), i).otherwise(F.lit(-1)))
-            starts = F.filter(flags, lambda i: i >= 0)
+        def count(starts: Column) -> Column:
             begin = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
             return F.aggregate(
                 starts,
@@ -98,8 +122,9 @@ def repeated_words(hashes: Column) -> Column:
                 lambda at: at["n"],
             )
 
+        placed = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("hash"), i.alias("place"))))
         unlike = F.size(F.array_distinct(windows)) == F.size(windows)
-        return F.when(unlike, F.lit(0)).otherwise(let(let(F.sort_array(windows), marked), count))
+        return F.when(unlike, F.lit(0)).otherwise(let(let(placed, repeats), count))
 
     return let(hashes, lambda h: F.when(F.size(h) < WINDOW + 1, F.lit(0)).otherwise(let(by_hash(h), covered)))
 
@@ -128,12 +153,19 @@ def rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def quality(docs: DataFrame, trusted: DataFrame, threshold: float, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) of each document."""
+def quality(
+    docs: DataFrame, trusted: DataFrame, threshold: float | None = None, lost: float = LOST, text: str = "text", ident: str = "doc_id"
+) -> DataFrame:
+    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) of each document;
+    ``trusted`` has the trusted ids in a column named like ``ident``."""
     narrow = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
-    counted = rule_counts(narrow).withColumn("_ratios", log_ratios(docs, trusted, text, ident))
+    ids = trusted_ids(trusted, ident)
+    ratios = log_ratios(docs, ids, text, ident)
+    if threshold is None:
+        threshold = trusted_threshold(docs, ids, ratios, lost, text, ident)
+    counted = rule_counts(narrow).withColumn("_ratios", ratios)
     counted = counted.withColumn("score", mean_ratio(F.col("hashes"), F.col("_ratios")))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    failed = (F.col("n_words") < SHORTEST) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counted.select(
         "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), "score", (~failed & (F.col("score") >= threshold)).alias("kept"),

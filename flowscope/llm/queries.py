@@ -11,7 +11,6 @@ from flowscope.session import scratch_path
 
 LANGUAGE_MARGIN = 0.005
 SHARDS = 8
-QUALITY_THRESHOLD = -0.15
 PII_KEY = "example key: deployments bring their own"
 
 
@@ -81,7 +80,7 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     from flowscope.llm.quality import quality
 
     trusted = table(spark, folder, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    return quality(table(spark, folder, "documents"), trusted, QUALITY_THRESHOLD).withColumnRenamed("id", "doc_id")
+    return quality(table(spark, folder, "documents"), trusted).withColumnRenamed("id", "doc_id")
 
 
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
