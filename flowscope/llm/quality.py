@@ -80,13 +80,11 @@ def log_ratios(docs: DataFrame, ids: DataFrame, text: str = "text", ident: str =
     return materialized(whole.select(F.transform("rows", ratio).alias("ratios")), "ratios").scalar()
 
 
-def trusted_threshold(docs: DataFrame, ids: DataFrame, ratios: Column, lost: float, text: str = "text", ident: str = "doc_id") -> float:
+def trusted_threshold(scored: DataFrame, ids: DataFrame, lost: float) -> float:
     """The score that a share ``lost`` of the trusted documents lies below, rounded down to a step; 0 without any."""
-    hashed = docs.select(F.col(ident).alias("id"), word_hashes(F.col(text)).alias("hashes")).join(ids, "id", "left_semi")
-    hashed = hashed.withColumn("_ratios", ratios)
-    step = F.when(F.size("hashes") >= SHORTEST, F.floor(mean_ratio(F.col("hashes"), F.col("_ratios")) * STEPS))
+    step = F.when(F.col("n_words") >= SHORTEST, F.floor(F.col("score") * STEPS))
     # counted by distinct step, so it is exact, the same in any order, and its size doesn't grow with the rows
-    found = hashed.select(step.alias("step")).agg(F.percentile("step", lost)).first()[0]
+    found = scored.select("id", step.alias("step")).join(ids, "id", "left_semi").agg(F.percentile("step", lost)).first()[0]
     return 0.0 if found is None else math.floor(found) / STEPS
 
 
@@ -161,10 +159,12 @@ def quality(
     narrow = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
     ids = trusted_ids(trusted, ident)
     ratios = log_ratios(docs, ids, text, ident)
-    if threshold is None:
-        threshold = trusted_threshold(docs, ids, ratios, lost, text, ident)
     counted = rule_counts(narrow).withColumn("_ratios", ratios)
-    counted = counted.withColumn("score", mean_ratio(F.col("hashes"), F.col("_ratios")))
+    counted = counted.withColumn("score", mean_ratio(F.col("hashes"), F.col("_ratios"))).drop("hashes", "text", "_ratios")
+    if threshold is None:
+        # some numbers a document, written so that texts are scored once
+        counted = materialized(counted, "scores")
+        threshold = trusted_threshold(counted, ids, lost)
     failed = (F.col("n_words") < SHORTEST) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counted.select(
         "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
