@@ -5,8 +5,9 @@ A document's set is the distinct hashes of its word shingles (A-Z in lower case)
 hashes meets first among the full ones. ``ROWS`` bins form a band; documents with an equal band share a bucket.
 
 Documents with equal sets are one node from the start, however many they are. In a bucket, edges go from one centre to
-the other members only (a star), so their number follows the members', not its square. Each edge is confirmed on the
-full sets, and confirmed edges join components. Further passes, ``PASSES`` in all, do the same in finer buckets of
+the other members only (a star), so their number follows the members', not its square; a node that meets many centres in
+its buckets asks the first ``CENTRES`` of them, so a large group has no more edges a node than a small one. Each edge is
+confirmed on the full sets, and confirmed edges join components. Further passes, ``PASSES`` in all, do the same in finer buckets of
 three bands at a time (others in each pass, with other centres) for what is still in several components.
 
 Two similar nodes can both be unlike every centre they met, so the passes alone would lose links. The rest is exact:
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowscope.llm import tokens
@@ -41,6 +42,8 @@ from flowscope.session import materialized
 
 BINS, ROWS = 128, 4
 PASSES = 3
+#: Centres that a node is compared with in a pass.
+CENTRES = 4
 SLICE_BYTES = 1_000_000
 #: Mean size of the sets that meet in a task at the end, or of each of its two blocks, in bytes and in sets.
 BLOCK_BYTES, BLOCK_SETS = 4_000_000, 2_000
@@ -182,19 +185,31 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialized(both.mapInArrow(similar(percent), "a bigint, b bigint"), "links")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, to): the least node that each node of the links reaches. Labels move to neighbours and then to their
-    labels' labels, so long paths take logarithmically many rounds."""
-    edges = materialized(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = materialized(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("to")), "labels")
+def rooted(parents: DataFrame) -> DataFrame:
+    """(node, to) with each node's last ancestor, of (node, to) with its parent: a root is its own. Pointers move to their
+    pointers' pointers, so long paths take logarithmically many rounds."""
     while True:
-        heard = edges.join(labels.select(F.col("node").alias("b"), "to"), "b").groupBy(F.col("a").alias("node")).agg(F.min("to").alias("heard"))
-        nearer = labels.join(heard, "node").select("node", "to", F.least("to", "heard").alias("best"))
-        beyond = nearer.select(F.col("node").alias("best"), F.col("best").alias("beyond"))
-        moved = materialized(nearer.join(beyond, "best").select("node", F.least("best", "beyond").alias("best"), "to"), "moved")
-        labels = moved.select("node", F.col("best").alias("to"))
-        if moved.where("best < to").isEmpty():
-            return labels
+        beyond = parents.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
+        moved = materialized(parents.join(beyond, "to").select("node", F.col("beyond").alias("to"), (F.col("to") != F.col("beyond")).alias("moved")), "moved")
+        parents = moved.select("node", "to")
+        if moved.where("moved").isEmpty():
+            return parents
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, to): the least node that each node of the links reaches. Each node points to its least neighbour; the trees so made
+    become one node each, and only the edges between them go on to the next round, where their nodes are at most half."""
+    edges = materialized(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
+    labels = materialized(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("to", F.col("node")), "labels")
+    while not edges.isEmpty():
+        parents = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("to"))
+        roots = rooted(materialized(parents, "parents"))
+        of_a, of_b = (roots.select(F.col("node").alias(x), F.col("to").alias(f"of_{x}")) for x in ("a", "b"))
+        moved = roots.select(F.col("node").alias("to"), F.col("to").alias("root"))
+        labels = materialized(labels.join(moved, "to", "left").select("node", F.coalesce("root", "to").alias("to")), "labels")
+        apart = edges.join(of_a, "a").join(of_b, "b").where("of_a <> of_b")
+        edges = materialized(apart.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct(), "edges")
+    return labels
 
 
 def bucketed(nodes: DataFrame, turn: int) -> DataFrame:
@@ -207,13 +222,16 @@ def bucketed(nodes: DataFrame, turn: int) -> DataFrame:
 
 
 def starred(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of numbers (a, b): in each bucket with several components, one node and those of other components."""
+    """Pairs of numbers (a, b): in each bucket with several components, one node and those of other components. A node asks
+    at most ``CENTRES`` of its buckets' centres, the first in the order that made them centres."""
     order = F.xxhash64("number", F.lit(turn))
     stars = members.groupBy("key").agg(
         F.min_by("number", order).alias("centre"), F.min_by("comp", order).alias("of_centre"), F.min("comp").alias("least"), F.max("comp").alias("most")
     )
     met = members.join(stars.where("least < most").select("key", "centre", "of_centre"), "key").where("comp <> of_centre")
-    return met.select(F.least("number", "centre").alias("a"), F.greatest("number", "centre").alias("b")).distinct()
+    first = Window.partitionBy("number").orderBy(F.xxhash64("centre", F.lit(turn)), "centre")
+    asked = met.select("number", "centre").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= CENTRES)
+    return asked.select(F.least("number", "centre").alias("a"), F.greatest("number", "centre").alias("b")).distinct()
 
 
 def tied(active: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -128,3 +128,23 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame(list(zip(names, names[1:], strict=False)), "a bigint, b bigint")
     labels = {r.node: r.to for r in N.components(links).collect()}
     assert len(labels) == 200 and set(labels.values()) == {min(names)}
+
+
+def test_pairs_of_a_large_group_grow_with_its_nodes(spark):
+    """Nodes that share about half of their 32 buckets with any other, as one large group of near copies does."""
+    rng = random.Random(5)
+    pairs = {}
+    for n in (100, 400):
+        rows = [(key, i, i) for i in range(n) for key in range(32) if rng.random() < 0.5]
+        found = N.starred(spark.createDataFrame(rows, "key bigint, number bigint, comp bigint"), 0).collect()
+        assert {x for r in found for x in r} == set(range(n))
+        pairs[n] = len(found)
+    assert pairs[400] <= 4 * 400 and pairs[400] <= 4.4 * pairs[100]
+
+
+def test_components_of_many_stars(spark):
+    """Centres that share members; a component's label is its least node, also beside a second component."""
+    rng = random.Random(6)
+    links = [(c, 1000 + rng.randrange(300)) for c in range(20, 40) for _ in range(60)] + [(5000, 4999), (5000, 5001), (7, 7)]
+    labels = {r.node: r.to for r in N.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert labels == {x: 4999 if 4000 < x else 7 if x == 7 else 20 for link in links for x in link}
