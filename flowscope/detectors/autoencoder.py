@@ -7,8 +7,10 @@ file, takes its part of the gradient, and all workers gather and add the parts,
 holds one share and the state, however many rows or epochs there are. A job runs ``job_epochs`` epochs and returns the state,
 whose size depends on the layers only; a lost executor costs one job's epochs, since a barrier stage starts anew.
 
-One worker is used for every ``ROWS_PER_WORKER`` rows, up to the cores of the cluster: a step exchanges the gradient's
-bytes between all workers, which pays off only where the shares are large, so raise ``batch_size`` along with the data.
+A step exchanges the gradient's bytes between all workers through the driver, some ten milliseconds, so by default a worker
+is added only for every ``WORK_PER_WORKER`` multiplications of a mini-batch. Mini-batches of 32 rows and small networks take one
+worker for that reason: their steps depend on each other, one chain of ``epochs * rows / batch_size`` of them, and no worker
+more would shorten it. That worker still holds one mini-batch and the state only. Raise ``batch_size`` along with the data.
 """
 
 from __future__ import annotations
@@ -45,7 +47,8 @@ VALID_SHARE = 0.05
 ACTIVITY_L1 = 1e-6
 WEIGHT_SEED = 2
 # --- end of fixed values ---------------------------------------------------------------------------
-ROWS_PER_WORKER = 20_000
+#: Multiplications of a step, forward and back, that take about as long as the exchange of a gradient.
+WORK_PER_WORKER = 300_000_000
 #: Epochs of one job, and so what a lost executor costs at most.
 JOB_EPOCHS = 50
 
@@ -198,6 +201,11 @@ def _epochs(layout: Layout, shared, folder: str, dim: int, workers: int, rows: i
             total = 0.0
             for step in range(shares.num_record_batches):
                 x, size = share(shares, step), min(batch_size, rows - step * batch_size)
+                if workers == 1:
+                    loss, gradient = layout.loss_and_gradient(state.flat, x)
+                    state.step(gradient)
+                    total += loss * len(x)
+                    continue
                 part = np.zeros(layout.length() + 1)
                 if len(x):
                     loss, gradient = layout.loss_and_gradient(state.flat, x)
@@ -220,6 +228,11 @@ def _epochs(layout: Layout, shared, folder: str, dim: int, workers: int, rows: i
     return run
 
 
+def default_workers(layout: Layout, batch_size: int, cores: int) -> int:
+    """As many workers as a mini-batch's arithmetic pays for."""
+    return max(1, min(cores, 3 * batch_size * layout.length() // WORK_PER_WORKER))
+
+
 STATE_SCHEMA = "flat array<double>, first array<double>, second array<double>, steps long, loss array<double>, val_loss array<double>"
 
 
@@ -248,7 +261,7 @@ def fit_autoencoder(
     if not rows:
         raise ValueError("no rows to train on")
     if workers is None:
-        workers = max(1, min(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_WORKER)))
+        workers = default_workers(layout, min(rows, batch_size), spark.sparkContext.defaultParallelism)
     dealt = ranked(train).withColumn("held", F.col("at") >= rows)
     if valid is not None:
         dealt = dealt.unionByName(ranked(valid).withColumn("held", F.lit(True)))

@@ -114,12 +114,18 @@ class Adam:
     def step(self, gradient: np.ndarray) -> None:
         self.steps += 1
         rate = RATE * np.sqrt(1 - BETA2**self.steps) / (1 - BETA1**self.steps)
+        room = np.empty(min(PIECE, len(self.flat)))
         for at in range(0, len(self.flat), PIECE):  # a piece stays in the processor's cache
-            g, first, second = (v[at : at + PIECE] for v in (gradient, self.first, self.second))
+            flat, g, first, second = (v[at : at + PIECE] for v in (self.flat, gradient, self.first, self.second))
+            now = room[: len(g)]
             first *= BETA1
-            first += (1 - BETA1) * g
+            first += np.multiply(g, 1 - BETA1, out=now)
+            np.multiply(g, g, out=now)
+            now *= 1 - BETA2
             second *= BETA2
-            second += (1 - BETA2) * (g * g)
-            root = np.sqrt(second)
-            root += EPSILON
-            self.flat[at : at + PIECE] -= rate * (first / root)
+            second += now
+            np.sqrt(second, out=now)
+            now += EPSILON
+            np.divide(first, now, out=now)
+            now *= rate
+            flat -= now

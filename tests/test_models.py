@@ -268,3 +268,11 @@ def test_cross_validation(clusters):
     fit = lambda part: kernel.fit_svm(part, NAMES, components=64, probability=False, max_iter=10)
     scores = train.cross_validate(clusters, "id", fit, folds=2).first()
     assert scores.accuracy > 0.95 and scores.recall > 0.9 and 0 < scores.f_beta <= 1
+
+
+def test_small_steps_take_one_worker():
+    """An exchange of gradients costs more than a mini-batch of 32 rows, however many rows there are."""
+    layout = autoencoder.bottleneck_layout(64)
+    assert autoencoder.default_workers(layout, autoencoder.BATCH, 12) == 1
+    assert autoencoder.default_workers(autoencoder.deep_layout(64, 4), autoencoder.DEEP_BATCH, 12) == 1
+    assert 2 <= autoencoder.default_workers(layout, 4096, 12) < autoencoder.default_workers(layout, 65536, 12) == 12
