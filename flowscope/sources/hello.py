@@ -53,25 +53,27 @@ def _blocks(lines: DataFrame) -> DataFrame:
 
 
 def _fields(header: str, names: Sequence[str]) -> Column:
-    """The named fields of a line under a header."""
+    """The named fields of a line under a header. The line is parsed once: fields are taken from a bound variable, as a parse
+    that is written out for each field would be made for each field."""
     found = [c.strip() for c in next(csv.reader([header.removeprefix("﻿")]))]
     missing = [n for n in names if n not in found]
     if missing:
         raise ValueError(f"the header {header!r} lacks {', '.join(missing)}")
     parsed = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(found))), {"escape": '"', "mode": "PERMISSIVE"})
-    return F.struct(*[F.coalesce(parsed[f"c{found.index(n)}"], F.lit("")).alias(n) for n in names])
+    record = lambda line: F.struct(*[F.coalesce(line[f"c{found.index(n)}"], F.lit("")).alias(n) for n in names])
+    return F.transform(F.array(parsed), record)[0]
 
 
 def _read(spark: SparkSession, path: str | Sequence[str], fields, with_id: bool) -> DataFrame:
     names = fields.fieldNames()
     lines = _lines(spark, path)
     blocks = _blocks(lines)
-    kinds = [r.kind for r in blocks.where("kind is not null").select("kind").distinct().limit(MAX_HEADERS + 1).collect()]
+    kinds = blocks.where("kind is not null").groupBy("kind").agg(F.min("file").alias("file")).limit(MAX_HEADERS + 1).collect()
     if len(kinds) > MAX_HEADERS:
         raise ValueError(f"more than {MAX_HEADERS} different headers")
     record = F.lit(None).cast(fields)
-    for kind in kinds:
-        header = lines.where(F.col("hash") == kind).first()["value"]
+    for kind, file in kinds:
+        header = lines.where((F.col("file") == file) & (F.col("hash") == kind)).first()["value"]
         record = F.when(F.col("kind") == kind, _fields(header, names)).otherwise(record)
     placed = attach(lines.drop("hash"), blocks, ["file", "block"], ["place"], limit=BROADCAST_BLOCKS)
     rows = placed.where((F.trim("value") != "") & (F.col("place") != F.col("head")))

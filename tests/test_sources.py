@@ -151,3 +151,12 @@ def test_endpoints_are_looked_up_once(spark, tmp_path):
     assert incremental.unseen_endpoints(flows, table).count() == 0
     fresh = incremental.look_up_batch(parts[1], known, f"{tmp_path}/answers", "v2", "two")  # another snapshot starts anew
     assert fresh.count() == len(keys[1])
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    names = S.CLIENT_HELLO.fieldNames()
+    (tmp_path / "a.csv").write_text(",".join(names) + "\n" + ",".join(names) + "\n")
+    rows = hello.read_client_hello(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("from_csv(") + plan.count("csvtostructs(") == 1
+    assert rows.first().asDict() == {"flow_id": 1, **{n: n for n in names}}
