@@ -371,10 +371,12 @@ TIMED = "SELECT e.*, ts FROM ({view}) e JOIN events v ON v.event_id = e.flow_id"
 DAYS = f"""{with_views("client_hello", "server_hello")}, c AS ({TIMED.format(view="SELECT * FROM client_hello")}), s AS ({TIMED.format(view="SELECT * FROM server_hello")})"""
 
 
-def _capture_streams(spark, sf, path, closed):
-    """Client and server records with their times as streams of two halves, and records weeks later that close the last day."""
-    streams, events = [], table(spark, sf, "events")
+def _captures(spark, sf, closed):
+    """Client and server records with their times, (name, rows) for both sides of each arrival: two halves and, if ``closed``,
+    records weeks later that close the last day."""
+    events = table(spark, sf, "events")
     middle, last = events.agg(F.expr("percentile_approx(event_id, 0.5)"), F.max("ts").cast("timestamp")).first()
+    arrivals = [[] for _ in range(4 if closed else 2)]
     for name in ("client_hello", "server_hello"):
         times = events.select(F.col("event_id").alias("flow_id"), F.col("ts").cast("timestamp").alias("ts"))
         rows = materialized(view(spark, sf, name).join(times, "flow_id"), name)
@@ -382,10 +384,17 @@ def _capture_streams(spark, sf, path, closed):
         for weeks in (1, 2) if closed else ():
             late = {"ts": F.lit(last + dt.timedelta(weeks=weeks)), "SrcIP": F.lit("closing"), "DstIP": F.lit(name)}
             parts.append(rows.limit(1).withColumns(late))
-        for part in parts:
-            part.repartition(1).write.mode("append").parquet(f"{path}/{name}")
-        streams.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/{name}"))
-    return streams
+        for arrival, part in zip(arrivals, parts, strict=True):
+            arrival.append((name, part))
+    return arrivals
+
+
+def _arriving(spark, arrivals, path, run):
+    """Each arrival is written by as many tasks as its rows have and is then one micro-batch of ``run``, which gets both streams."""
+    for arrival in arrivals:
+        for name, part in arrival:
+            part.write.mode("append").parquet(f"{path}/{name}")
+        run(*[spark.readStream.schema(part.schema).parquet(f"{path}/{name}") for name, part in arrival])
 
 
 @FLOWS.add(
@@ -398,8 +407,13 @@ def _capture_streams(spark, sf, path, closed):
 def pair_first_stream(spark, sf):
     """Each client with the first server of its 4-tuple and day, from two streams."""
     path = scratch_path(spark, "streams")
-    found = streaming.first_match(*_capture_streams(spark, sf, path, closed=True))
-    streaming.run_available(found.select("flow_id", *S.ENDPOINT_KEYS, "srv_flow_id"), f"{path}/progress", f"{path}/pairs")
+
+    def run(client_stream, server_stream):
+        narrow = ["flow_id", *S.ENDPOINT_KEYS, "ts"]
+        found = streaming.first_match(client_stream.select(*narrow), server_stream.select(*narrow))
+        streaming.run_available(found.select("flow_id", *S.ENDPOINT_KEYS, "srv_flow_id"), f"{path}/progress", f"{path}/pairs")
+
+    _arriving(spark, _captures(spark, sf, closed=True), path, run)
     return spark.read.parquet(f"{path}/pairs")
 
 
@@ -411,11 +425,11 @@ def pair_first_stream(spark, sf):
       SELECT c.flow_id, s.flow_id AS srv_flow_id, c.pair_rank FROM c JOIN s ON {MATCH} AND c.pair_rank = s.pair_rank""",
 )
 def pair_one_to_one_stream(spark, sf):
-    """The k-th client with the k-th server, from two streams that arrive file by file."""
+    """The k-th client with the k-th server, from two streams that arrive half by half."""
     path = scratch_path(spark, "streams")
-    client_stream, server_stream = _capture_streams(spark, sf, path, closed=False)
-    work, pairs = streaming.one_to_one(spark, f"{path}/state", client_stream.schema, server_stream.schema)
-    streaming.run_available(streaming.sides(client_stream, server_stream), f"{path}/progress", work)
+    arrivals = _captures(spark, sf, closed=False)
+    work, pairs = streaming.one_to_one(spark, f"{path}/state", *[part.schema for _, part in arrivals[0]])
+    _arriving(spark, arrivals, path, lambda *streams: streaming.run_available(streaming.sides(*streams), f"{path}/progress", work))
     return pairs().select("flow_id", "srv_flow_id", "pair_rank")
 
 

@@ -82,3 +82,14 @@ def test_one_to_one(spark, tmp_path):
     want = pairing.pair_one_to_one(records(spark, flat(clients), False), records(spark, flat(servers), True))
     got = pairs()
     assert failed == [1] and pairs_of(got) == pairs_of(want) and got.select("pair_rank").agg(F.max("pair_rank")).first()[0] > 5
+
+
+def test_an_arrival_is_one_batch_of_many_files(spark, tmp_path):
+    from flowscope.workload import flow_queries
+
+    halves = [spark.range(a, a + 100, 1, 4).toDF("flow_id") for a in (0, 100)]
+    arrivals, seen = [[("one", half), ("two", half)] for half in halves], []
+    work = lambda rows, batch: seen.append((batch, rows.count(), rows.agg({"flow_id": "max"}).first()[0]))
+    flow_queries._arriving(spark, arrivals, str(tmp_path / "in"), lambda one, two: streaming.run_available(one.union(two), str(tmp_path / "progress"), work))
+    assert seen == [(0, 200, 99), (1, 200, 199)]
+    assert len(list((tmp_path / "in" / "one").glob("*.parquet"))) == 8
