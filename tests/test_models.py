@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -276,3 +277,14 @@ def test_small_steps_take_one_worker():
     assert autoencoder.default_workers(layout, autoencoder.BATCH, 12) == 1
     assert autoencoder.default_workers(autoencoder.deep_layout(64, 4), autoencoder.DEEP_BATCH, 12) == 1
     assert 2 <= autoencoder.default_workers(layout, 4096, 12) < autoencoder.default_workers(layout, 65536, 12) == 12
+
+
+def test_landmark_features_need_no_room_beside_themselves():
+    rng = np.random.default_rng(1)
+    basis, x = kernel.Basis(rng.random((256, 8)), 0.1), rng.random((20_000, 8))
+    tracemalloc.start()
+    z = basis(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * z.nbytes
+    assert np.allclose(z, kernel.gaussian(x, basis.landmarks, 0.1) @ basis.root, rtol=1e-12, atol=1e-9)
