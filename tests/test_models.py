@@ -1,4 +1,5 @@
 import hashlib
+import threading
 import tracemalloc
 
 import numpy as np
@@ -288,3 +289,18 @@ def test_landmark_features_need_no_room_beside_themselves():
     tracemalloc.stop()
     assert peak < 1.5 * z.nbytes
     assert np.allclose(z, kernel.gaussian(x, basis.landmarks, 0.1) @ basis.root, rtol=1e-12, atol=1e-9)
+
+
+def test_folds_are_fitted_at_the_same_time(spark):
+    rows = spark.createDataFrame([(i, i % 2) for i in range(40)], "id bigint, malware_label int")
+    both = threading.Barrier(2, timeout=60)
+
+    class Model:
+        def transform(self, part):
+            return part.withColumn("prediction", F.col("malware_label").cast("double"))
+
+    def fit(part):
+        both.wait()
+        return Model()
+
+    assert train.cross_validate(rows, "id", fit, 2).first()["accuracy"] == 1.0
