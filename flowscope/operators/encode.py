@@ -7,6 +7,7 @@ vector by vocabulary lookup, the wide table, and the long form.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, VectorAssembler
@@ -20,6 +21,8 @@ from flowscope.functions.codes import in_ranges, parse_code_list, parse_until_er
 
 STEP = 0.5  # fixed value: what one occurrence weighs
 STEPS = "code_steps"
+#: Rows that a task should widen, and into how many parts at most they go if there are idle cores.
+WIDE_ROWS, CORE_TASKS = 50_000, 10
 
 
 def _known(codes: Column, ranges) -> Column:
@@ -221,6 +224,13 @@ def code_counts(weighed: DataFrame, name: str = "code_counts") -> DataFrame:
     return counter.transform(weighed)
 
 
+def dealt(weighed: DataFrame, row_id: str = "flow_id", rows: int = WIDE_ROWS) -> DataFrame:
+    """The narrow rows dealt by a hash of their id into tasks of ``rows`` at most, on average, for a wide table to be written: narrow
+    rows lie in few large splits, while each becomes 519 cells, which is what the time goes into. Fewer rows go to all cores."""
+    n, cores = weighed.count(), weighed.sparkSession.sparkContext.defaultParallelism
+    return weighed.repartition(max(1, math.ceil(n / rows), min(cores, n * CORE_TASKS // rows)), row_id)
+
+
 def encode_wide(weighed: DataFrame, keep: list[str] = ()) -> DataFrame:
     """The fixed wide table. Keep this the last step: the projection is too wide for fused code."""
     counted = code_counts(weighed).withColumn("_codes", vector_to_array("code_counts"))

@@ -158,7 +158,7 @@ def _feature_file(spark, sf, fmt):
     """Append each class as its own job, then read all of it back."""
     path, weighed = scratch_path(spark, "features"), _weighed(spark, sf)
     for value in (0, 1):
-        tables.write_features(encode.encode_wide(weighed.where(F.col("malware_label") == value)), path, fmt)
+        tables.write_features(encode.encode_wide(encode.dealt(weighed.where(F.col("malware_label") == value))), path, fmt)
     return _class_sums(tables.read_features(spark, path, fmt))
 
 
@@ -717,7 +717,7 @@ def feature_file_batches(spark, sf):
     """One batch per class; the first is run again after it finished, which adds nothing."""
     path, weighed = scratch_path(spark, "features"), _weighed(spark, sf)
     for value in (0, 1, 0):
-        tables.append_features(encode.encode_wide(weighed.where(F.col("malware_label") == value)), path, f"class {value}")
+        tables.append_features(encode.encode_wide(encode.dealt(weighed.where(F.col("malware_label") == value))), path, f"class {value}")
     return _class_sums(tables.read_feature_batches(spark, path))
 
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from flowscope import schema as S
 from flowscope.operators import encode
@@ -107,3 +108,10 @@ def test_align_zero_fill(spark):
     df = spark.createDataFrame([(1, None, 2.5)], "id int, cs_0000 double, cs_0001 double")
     got = encode.align_zero_fill(df, ["cs_0001", "cs_0000", "otx_age"], ["id"])
     assert got.columns == ["id", "cs_0001", "cs_0000", "otx_age"] and tuple(got.first()) == (1, 2.5, 0.0, 0.0)
+
+
+def test_narrow_rows_are_dealt_before_they_are_widened(spark):
+    one = spark.range(1000).withColumnRenamed("id", "flow_id").coalesce(1)
+    tasks = encode.dealt(one, rows=100).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 10 and sum(r["count"] for r in tasks) == 1000 and max(r["count"] for r in tasks) < 200
+    assert encode.dealt(one.where("false"), rows=100).count() == 0
