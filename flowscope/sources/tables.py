@@ -1,4 +1,4 @@
-"""The feature table on disk: Parquet by preference, CSV with a header for exchange."""
+"""The feature table on disk: Parquet by preference, CSV with a header, compressed by gzip, for exchange."""
 
 from __future__ import annotations
 
@@ -8,10 +8,14 @@ from flowscope import schema as S
 from flowscope.sources.batches import append_once, read_batches
 
 
+#: Most cells of a flow are zero, so compressed files are a small part of the text. They can't be split, hence the limit on rows.
+FEATURE_CSV = {"header": True, "compression": "gzip", "maxRecordsPerFile": 100_000}
+
+
 def write_features(features: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
     """The 519 columns in fixed order. Appending is atomic per job; each CSV file has its own header."""
     ordered = features.select(*S.FEATURE_COLUMNS)
-    options = {"header": True} if fmt == "csv" else {}
+    options = FEATURE_CSV if fmt == "csv" else {}
     ordered.write.mode(mode).options(**options).format(fmt).save(path)
 
 
@@ -23,7 +27,7 @@ def read_features(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 
 def append_features(features: DataFrame, path: str, batch: str, fmt: str = "parquet") -> bool:
     """Append a batch exactly once, however often its job is run; False if it was there already."""
-    options = {"header": True} if fmt == "csv" else {}
+    options = FEATURE_CSV if fmt == "csv" else {}
     return append_once(features.select(*S.FEATURE_COLUMNS), path, batch, fmt, **options)
 
 

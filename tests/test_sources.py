@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowscope import schema as S
-from flowscope.operators import enrich, pairing
+from flowscope.operators import encode, enrich, pairing
 from flowscope.plans import incremental
-from flowscope.sources import batches, hello, intel
+from flowscope.sources import batches, hello, intel, tables
 from flowscope.workload import fixtures as fx
 
 NAMES = S.SERVER_HELLO.fieldNames()
@@ -160,3 +160,11 @@ def test_a_line_is_parsed_once(spark, tmp_path):
     plan = rows._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("from_csv(") + plan.count("csvtostructs(") == 1
     assert rows.first().asDict() == {"flow_id": 1, **{n: n for n in names}}
+
+
+def test_feature_csv_is_small(spark, tmp_path):
+    rows = spark.range(0, 500, 1, 1).select((F.col("id") % 2).cast("int").alias(S.LABEL), F.col("id").cast("double").alias("message_len"))
+    tables.write_features(encode.align_zero_fill(rows), str(tmp_path / "t"), "csv")
+    assert sum(f.stat().st_size for f in (tmp_path / "t").glob("part-*")) < 500 * 519 // 10
+    back = tables.read_features(spark, str(tmp_path / "t"), "csv")
+    assert back.agg(F.count("*"), F.sum("message_len"), F.sum(S.LABEL)).first() == (500, 124750.0, 250)
