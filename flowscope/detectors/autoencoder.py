@@ -9,8 +9,9 @@ whose size depends on the layers only; a lost executor costs one job's epochs, s
 
 A step exchanges the gradient's bytes between all workers through the driver, some ten milliseconds, so by default a worker
 is added only for every ``WORK_PER_WORKER`` multiplications of a mini-batch. Mini-batches of 32 rows and small networks take one
-worker for that reason: their steps depend on each other, one chain of ``epochs * rows / batch_size`` of them, and no worker
-more would shorten it. That worker still holds one mini-batch and the state only. Raise ``batch_size`` along with the data.
+worker for that reason: their steps depend on each other, one chain of ``epochs * rows / batch_size`` of them. The arithmetic
+of a step is shared by the members of a team instead (``team``), tasks of one host that meet in shared memory in microseconds.
+A member holds one block of mini-batches; the state is there once. Raise ``batch_size`` along with the data.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from pyspark import BarrierTaskContext, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowscope.detectors.network import Adam, Layout
+from flowscope.detectors.network import Adam, Layout, Member
+from flowscope.detectors.team import Team, tasks_for
 from flowscope.operators import evaluate
 from flowscope.operators.columns import anomaly_flag
 from flowscope.operators.sampling import hash_rank, three_way_split
@@ -49,6 +51,10 @@ WEIGHT_SEED = 2
 # --- end of fixed values ---------------------------------------------------------------------------
 #: Multiplications of a step, forward and back, that take about as long as the exchange of a gradient.
 WORK_PER_WORKER = 300_000_000
+#: The same for a member of a team, that meets the others in shared memory; products of fewer rows cost nearly as much.
+WORK_PER_MEMBER, ROWS_PER_MEMBER = 2_000_000, 8
+#: Rows of a stored block of mini-batches, and of one prediction.
+BLOCK_ROWS, PREDICTED = 2048, 512
 #: Epochs of one job, and so what a lost executor costs at most.
 JOB_EPOCHS = 50
 
@@ -178,8 +184,16 @@ def _opened(folder: str, name: str) -> pa.ipc.RecordBatchFileReader:
     return pa.ipc.open_file(pa.memory_map(path) if isinstance(store, pafs.LocalFileSystem) else store.open_input_file(path))
 
 
+def _told(state: Adam | Member, steps: int, history: list) -> pa.RecordBatch:
+    """What a job returns, as one row."""
+    doubles = lambda v: pa.array([v], pa.list_(pa.float64()))
+    states = {"flat": doubles(state.flat), "first": doubles(state.first), "second": doubles(state.second)}
+    losses = {"loss": doubles([h[0] for h in history]), "val_loss": doubles([h[1] for h in history])}
+    return pa.RecordBatch.from_pydict({**states, "steps": [steps], **losses})
+
+
 def _epochs(layout: Layout, shared, folder: str, dim: int, workers: int, rows: int, batch_size: int, epochs: int):
-    """The barrier task of one job: ``epochs`` epochs from the shared state."""
+    """The barrier task of one job of several workers: ``epochs`` epochs from the shared state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = BarrierTaskContext.get()
@@ -188,8 +202,6 @@ def _epochs(layout: Layout, shared, folder: str, dim: int, workers: int, rows: i
         state = Adam(*shared.value)
 
         def added(part: np.ndarray) -> np.ndarray:
-            if workers == 1:
-                return part
             parts = context.allGather(base64.b64encode(part.tobytes()).decode())
             return np.sum([np.frombuffer(base64.b64decode(p)) for p in parts], axis=0)
 
@@ -201,11 +213,6 @@ def _epochs(layout: Layout, shared, folder: str, dim: int, workers: int, rows: i
             total = 0.0
             for step in range(shares.num_record_batches):
                 x, size = share(shares, step), min(batch_size, rows - step * batch_size)
-                if workers == 1:
-                    loss, gradient = layout.loss_and_gradient(state.flat, x)
-                    state.step(gradient)
-                    total += loss * len(x)
-                    continue
                 part = np.zeros(layout.length() + 1)
                 if len(x):
                     loss, gradient = layout.loss_and_gradient(state.flat, x)
@@ -220,14 +227,56 @@ def _epochs(layout: Layout, shared, folder: str, dim: int, workers: int, rows: i
             gaps = added(gaps)
             history.append((total / rows, gaps[1] / gaps[0] if gaps[0] else None))
         if own["worker"] == 0:
-            doubles = lambda v: pa.array([v], pa.list_(pa.float64()))
-            states = {"flat": doubles(state.flat), "first": doubles(state.first), "second": doubles(state.second)}
-            losses = {"loss": doubles([h[0] for h in history]), "val_loss": doubles([h[1] for h in history])}
-            yield pa.RecordBatch.from_pydict({**states, "steps": [state.steps], **losses})
+            yield _told(state, state.steps, history)
 
     return run
 
 
+def _team_epochs(layout: Layout, shared, folder: str, files, dim: int, members: int, rows: int, batch_size: int, epochs: int):
+    """The barrier task of one job of a single worker, whose arithmetic the members of a team share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        batch = min(rows, batch_size)
+        team = Team(folder, members, Member.space(layout, batch, members))
+        if team.rank is None:
+            return
+        member = Member(layout, batch, team.count, team.rank, team.room, team.meet)
+        *state, steps = shared.value
+        if team.rank == 0:
+            member.begin(*state)
+        team.meet()
+        shares, held = _opened(folder, files["shares"]), _opened(folder, files["held"])
+        history = []
+        for _ in range(epochs):
+            total = gap = 0.0
+            for i in range(shares.num_record_batches):
+                block = matrix(shares.get_batch(i), "x", dim)
+                for at in range(0, len(block), batch_size):
+                    steps += 1
+                    total += member.step(block[at : at + batch_size], steps)
+            judged = 0
+            for i in range(held.num_record_batches):
+                block = matrix(held.get_batch(i), "x", dim)
+                judged += len(block)
+                own = block[len(block) * team.rank // team.count : len(block) * (team.rank + 1) // team.count]
+                for at in range(0, len(own), PREDICTED):
+                    x = own[at : at + PREDICTED]
+                    gap += float(((layout.predict(member.flat, x) - x) ** 2).sum())
+            total, gap = member.added(total, gap)
+            history.append((float(total) / dim / rows, float(gap) / dim / judged if judged else None))
+        if team.rank == 0:
+            yield _told(member, steps, history)
+
+    return run
+
+
+def default_members(layout: Layout, batch_size: int) -> int:
+    """As many members of a team as a mini-batch has rows and arithmetic for."""
+    return max(1, min(batch_size // ROWS_PER_MEMBER, 3 * batch_size * layout.length() // WORK_PER_MEMBER))
+
+
 def default_workers(layout: Layout, batch_size: int, cores: int) -> int:
     """As many workers as a mini-batch's arithmetic pays for."""
     return max(1, min(cores, 3 * batch_size * layout.length() // WORK_PER_WORKER))
@@ -247,11 +296,13 @@ def fit_autoencoder(
     workers: int | None = None,
     seed: int = WEIGHT_SEED,
     job_epochs: int = JOB_EPOCHS,
+    members: int | None = None,
 ) -> Autoencoder:
     """Train on ``train``; ``valid`` rows, or the last 5% by hash order, only measure the loss.
 
-    The weights are those of one process that takes the mini-batches one after the other, for any number of ``workers``
-    (up to rounding in the order of sums). ``workers`` may not exceed the cores of the cluster.
+    The weights are those of one process that takes the mini-batches one after the other, for any number of ``workers``, or
+    of ``members`` of a single worker's team (up to rounding in the order of sums). ``workers`` may not exceed the cores of
+    the cluster.
     """
     spark, dim = train.sparkSession, len(features)
     inputs = F.array(*[F.col(c).cast("double") for c in features])
@@ -267,19 +318,31 @@ def fit_autoencoder(
         dealt = dealt.unionByName(ranked(valid).withColumn("held", F.lit(True)))
     in_step, by_turn = F.floor((F.col("at") % batch_size) * workers / batch_size), F.col("at") % workers
     worker = F.when(F.col("held"), by_turn).otherwise(in_step).cast("int")
-    placed = dealt.select("held", F.floor(F.col("at") / batch_size).alias("step"), "at", "x", worker.alias("worker"))
+    # one worker reads blocks of whole mini-batches, several read their share of each
+    stored = batch_size * (max(1, BLOCK_ROWS // batch_size) if workers == 1 else 1)
+    placed = dealt.select("held", F.floor(F.col("at") / stored).alias("step"), "at", "x", worker.alias("worker"))
     placed = placed.repartitionById(workers, "worker").sortWithinPartitions("held", "at").select("held", "step", "x")
     folder = scratch_path(spark, "shares")
-    steps = -(-rows // batch_size)
-    slices = materialized(placed.mapInArrow(_slicing(folder, dim, steps), "worker int, shares string, held string"), "slices")
+    slices = materialized(placed.mapInArrow(_slicing(folder, dim, -(-rows // stored)), "worker int, shares string, held string"), "slices")
+
+    if workers == 1:
+        files = slices.first().asDict()
+        members = default_members(layout, min(rows, batch_size)) if members is None else members
+        tasks = tasks_for(spark, members)
+        starts = spark.range(0, tasks, 1, tasks)
 
     flat = layout.initial(seed)
     state = (flat, np.zeros_like(flat), np.zeros_like(flat), 0)
     history: list[tuple[int, float, float | None]] = []
     while len(history) < epochs:
         shared = spark.sparkContext.broadcast(state)
-        task = _epochs(layout, shared, folder, dim, workers, rows, batch_size, min(job_epochs, epochs - len(history)))
-        out = slices.repartitionById(workers, "worker").mapInArrow(task, STATE_SCHEMA, barrier=True).collect()[0]
+        turn = min(job_epochs, epochs - len(history))
+        if workers == 1:
+            task = _team_epochs(layout, shared, folder, files, dim, members, rows, batch_size, turn)
+            out = starts.mapInArrow(task, STATE_SCHEMA, barrier=True).collect()[0]
+        else:
+            task = _epochs(layout, shared, folder, dim, workers, rows, batch_size, turn)
+            out = slices.repartitionById(workers, "worker").mapInArrow(task, STATE_SCHEMA, barrier=True).collect()[0]
         state = (np.array(out["flat"]), np.array(out["first"]), np.array(out["second"]), out["steps"])
         shared.unpersist()
         history += [(len(history) + i + 1, *losses) for i, losses in enumerate(zip(out["loss"], out["val_loss"]))]

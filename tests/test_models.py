@@ -1,12 +1,14 @@
 import hashlib
+import pathlib
 import threading
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from flowscope.detectors import autoencoder, kernel, network, reduction
+from flowscope.detectors import autoencoder, kernel, network, reduction, team
 from flowscope.operators.evaluate import classification_scores, roc_auc
 from flowscope.operators.profile import gram_matrix
 from flowscope.plans import train
@@ -304,3 +306,41 @@ def test_folds_are_fitted_at_the_same_time(spark):
         return Model()
 
     assert train.cross_validate(rows, "id", fit, 2).first()["accuracy"] == 1.0
+
+
+def test_members_of_a_team_equal_one_process(spark, clusters, monkeypatch):
+    """More members than some layers have rows, a last mini-batch with fewer rows than members, and penalties."""
+    counts = []
+    benign = clusters.where("malware_label = 0")
+    x = by_hash(benign)
+    cut = int(len(x) * 0.95)
+    monkeypatch.setattr(autoencoder, "tasks_for", lambda spark, members: counts.append(members) or members)
+    for layout, members in ((autoencoder.bottleneck_layout(8, (16, 4, 16)), 4), (autoencoder.deep_layout(8, 2), 3), (network.Layout((8, 3, 8), ("elu", "relu"), 1e-3), 7)):
+        flat, history = one_process(x[:cut], x[cut:], layout, 5, 32)
+        model = autoencoder.fit_autoencoder(benign, NAMES, "id", layout, epochs=5, job_epochs=3, workers=1, members=members)
+        assert np.abs(model.flat - flat).max() < 1e-6 and np.allclose([h[1:] for h in model.history], history)
+    assert counts == [4, 3, 7]
+
+
+def test_tasks_of_one_host_share_memory(spark):
+    folder = scratch_path(spark, "team")
+    pathlib.Path(folder).mkdir(parents=True)
+
+    def task(batches):
+        own = team.Team(folder, 3, 4)
+        if own.rank is not None:
+            own.room[own.rank] = 10.0 + own.rank
+            own.meet()
+            yield pa.RecordBatch.from_pydict({"rank": [own.rank], "seen": [own.room[:3].tolist()]})
+
+    rows = spark.range(0, 5, 1, 5).mapInArrow(task, "rank long, seen array<double>", barrier=True).collect()
+    assert sorted(r["rank"] for r in rows) == [0, 1, 2] and all(r["seen"] == [10.0, 11.0, 12.0] for r in rows)
+    assert not list(pathlib.Path(folder).iterdir())  # nothing stays behind
+
+
+def test_bottleneck_network_is_trained_by_a_team():
+    assert autoencoder.default_members(autoencoder.bottleneck_layout(64), autoencoder.BATCH) == 4
+    assert autoencoder.default_members(autoencoder.deep_layout(64, 4), autoencoder.DEEP_BATCH) == 1
+    assert autoencoder.default_members(autoencoder.bottleneck_layout(64), 5) == 1
+    assert team.chosen(["a:1", "b:1", "b:2", "c:1", "b:3", "c:2"], 2) == [1, 2]
+    assert team.chosen(["a:1", "b:1"], 4) == [0]
