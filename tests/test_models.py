@@ -14,6 +14,7 @@ from flowscope.operators.profile import gram_matrix
 from flowscope.plans import train
 from flowscope.session import scratch_path
 from flowscope.sources.models import load_model, save_model
+from flowscope.workload import model_queries
 
 NAMES = [f"x{i}" for i in range(8)]
 
@@ -344,3 +345,19 @@ def test_bottleneck_network_is_trained_by_a_team():
     assert autoencoder.default_members(autoencoder.bottleneck_layout(64), 5) == 1
     assert team.chosen(["a:1", "b:1", "b:2", "c:1", "b:3", "c:2"], 2) == [1, 2]
     assert team.chosen(["a:1", "b:1"], 4) == [0]
+
+
+@pytest.mark.parametrize("name", ["autoencoder_saved"])
+def test_query_trains_in_a_team(spark, monkeypatch, name):
+    """The registered query asks for a team of its own accord, and gets what one process gives."""
+    asked, tasks = [], autoencoder.tasks_for
+    monkeypatch.setattr(model_queries, "EPOCHS", 2)
+    monkeypatch.setattr(autoencoder, "tasks_for", lambda spark, members: asked.append(members) or tasks(spark, members))
+    run = lambda: {r.vec_id: r for r in model_queries.MODELS[name].run(spark, "/root/testdata/sf0.001").collect()}
+    shared = run()
+    monkeypatch.setattr(autoencoder, "default_members", lambda layout, batch_size: 1)
+    alone = run()
+    assert asked == [4, 1] and shared.keys() == alone.keys() and len(shared) > 300
+    for key, row in shared.items():
+        assert row.loss_mae == pytest.approx(alone[key].loss_mae, abs=1e-9) and row.anomaly == alone[key].anomaly
+        assert row.threshold == pytest.approx(alone[key].threshold, abs=1e-9)
