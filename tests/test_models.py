@@ -347,7 +347,7 @@ def test_bottleneck_network_is_trained_by_a_team():
     assert team.chosen(["a:1", "b:1"], 4) == [0]
 
 
-@pytest.mark.parametrize("name", ["autoencoder_saved"])
+@pytest.mark.parametrize("name", ["autoencoder_saved", "autoencoder_score"])
 def test_query_trains_in_a_team(spark, monkeypatch, name):
     """The registered query asks for a team of its own accord, and gets what one process gives."""
     asked, tasks = [], autoencoder.tasks_for
